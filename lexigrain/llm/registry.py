@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op6_token_files": token_files.op6_token_files,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
