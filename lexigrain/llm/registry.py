@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, token_files
+from . import exact_dedup, mixing, packing, pii, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_token_files": token_files.op6_token_files,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_pii": pii.op8_pii,
 }
 
 ORACLE_SQL = {
