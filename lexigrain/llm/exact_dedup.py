@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = whole.withColumn("digest", digest(F.col("norm")))
     collided = None
     if n:
-        hits = _maybe_shared(whole, shared, n).join(shared.select("digest", "keep_id"), "digest")
+        hits = table(_maybe_shared(whole, shared, n).join(shared.select("digest", "keep_id"), "digest"), f"{index.path}/hits", compression="zstd")
         stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("stays"))
         differ = hits.join(stays, "digest").where(F.col("norm") != F.col("stays"))
         collided = table(differ.select("digest").distinct(), f"{index.path}/collided")
