@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, pii, quality, sharding, token_files
+from . import exact_dedup, media, mixing, packing, pii, quality, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_files": token_files.op6_token_files,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_pii": pii.op8_pii,
+    "op10_media": media.op10_media,
 }
 
 ORACLE_SQL = {
