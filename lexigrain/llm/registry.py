@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, packing, pii, quality, sharding, token_files
+from . import exact_dedup, jaccard, media, mixing, packing, pii, quality, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality": quality.op2_quality,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_files": token_files.op6_token_files,
