@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard, media, mixing, packing, pii, quality, sharding, token_files
+from . import exact_dedup, jaccard, media, mixing, packing, pii, quality, sharding, substring_dedup, token_files
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_files": token_files.op6_token_files,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_pii": pii.op8_pii,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_media": media.op10_media,
 }
 
