@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small, table
-from .tokens import CachedEncoder, slices, texts_of, tokenizer_path
+from .tokens import encoder, slices, texts_of, tokenizer_path
 
 CAPACITY = 4096
 UNIT = 8
@@ -174,11 +174,11 @@ def places(recipes: list[tuple[Recipe, int]]) -> dict[str, np.ndarray]:
 
 def _measure(path: str, drops_space: bool, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = CachedEncoder(path, drops_space), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, drops_space).encode, np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in slices(whole, "text"):
                 out = []
-                for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode(texts_of(batch)), strict=True):
+                for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encode(texts_of(batch)), strict=True):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

@@ -2,7 +2,8 @@
 
 A byte-level or word-level BPE never joins characters over the borders at which texts are cut here, so the ids of
 a text are the ids of its chunks, one after the other.  Natural text repeats its words, so most chunks are looked
-up; the rest are encoded together by the tokenizers library.
+up.  A new chunk of plain Latin letters, digits and marks is cut into the pieces that the tokenizer's own pattern
+makes of it, and its model encodes each; any other chunk goes through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -12,19 +13,32 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker remembers: two generations of so many.
-CACHE_WORDS = 300_000
+#: Chunks, and pieces, whose ids a worker remembers before it starts anew.
+CACHE_WORDS = 700_000
+#: Longest chunk that is remembered.
+CACHE_CHARS = 64
 #: Bytes of text that a worker handles at once.
 SLICE_BYTES = 2 << 20
 #: Where a byte-level text may be cut: before ASCII white space that follows anything else.
 _CHUNK = re.compile("[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space outside ASCII joins runs of white space over such a cut; texts with it are encoded whole.
-_ODD_SPACE = re.compile("[\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+#: The endings that both tokenizers cut off as pieces.
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Chunks that are cut here: printable ASCII and letters of Latin scripts, after no space, one space or a line break.
+_PLAIN = re.compile(f"[ \n]?[!-~{_LETTERS}]+")
+_BYTE_PIECE = re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|\n")
+_WORD_PIECE = re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^ \n0-9{_LETTERS}]+")
+#: The letters that byte-level models write for bytes: printable ones stand for themselves, others follow from 256 on.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTER = {b: b for b in _SELF} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_SELF}))}
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,10 +47,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Ids(dict):
+    """Ids of chunks as bytes; computed when first asked for."""
+
+    def __init__(self, compute) -> None:
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.compute(key)
+        if len(key) <= CACHE_CHARS:
+            self[key] = ids
+        return ids
+
+
+def _bytes(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class CachedEncoder:
     """encode(texts): the ids of each text as little-endian unsigned 32-bit bytes.
 
-    drops_space: the tokenizer forgets white space (words alone matter); otherwise it is byte-level.
+    drops_space: the tokenizer lower-cases and forgets white space; otherwise it is byte-level and keeps all.
     """
 
     def __init__(self, path: str, drops_space: bool, cache_words: int = CACHE_WORDS) -> None:
@@ -45,42 +80,55 @@ class CachedEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tok.model
         self.drops_space, self.limit = drops_space, cache_words
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.find = (_WORD_PIECE if drops_space else _BYTE_PIECE).findall
+        self.chunks, self.pieces = _Ids(self._chunk), _Ids(self._piece)
 
-    def _chunks(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
         return [text] if _ODD_SPACE.search(text) else _CHUNK.findall(text)
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        out = [array("I", e.ids) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for a in out:
-                a.byteswap()
-        return [a.tobytes() for a in out]
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii() or piece[0] in " \n":
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTER)
+        return _bytes([t.id for t in self.model.tokenize(piece)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        # Most chunks are an ASCII word, or one and a mark.
+        space = not self.drops_space and chunk[:1] == " "
+        last = chunk[-1:] if chunk[-1:] in (".", ",") else ""
+        word = chunk[space : len(chunk) - len(last)]
+        if word.isalpha() and word.isascii():
+            ids = self.pieces[word.lower() if self.drops_space else chunk[: len(chunk) - len(last)]]
+            return ids + self.pieces[last] if last else ids
+        if _PLAIN.fullmatch(chunk):
+            pieces = self.find(chunk.lower() if self.drops_space else chunk)
+            return b"".join([self.pieces[p] for p in pieces])
+        return _bytes(self.tok.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._chunks(t) for t in texts]
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        young, old, seen = self.young, self.old, set()
-        for p in parts:
-            seen.update(p)
-        new = []
-        for w in seen:
-            if w not in young:
-                if (b := old.get(w)) is None:
-                    new.append(w)
-                else:
-                    young[w] = b
-        young.update(zip(new, self._ids(new), strict=True))
-        out = [b"".join(map(young.__getitem__, p)) for p in parts]
-        for w in new:  # a very long chunk isn't worth remembering
-            if len(w) > 64:
-                del young[w]
-        return out
+        for cache in (self.chunks, self.pieces):
+            if len(cache) > self.limit:
+                cache.clear()
+        ids = self.chunks.__getitem__
+        return [b"".join(map(ids, self._cut(t))) for t in texts]
+
+    def encode_narrow(self, texts: list[str]) -> tuple[list[bytes], int]:
+        """The same ids in as few bytes each as the vocabulary needs, 2 or 4, and that number."""
+        ids = self.encode(texts)
+        if self.tok.get_vocab_size() > 1 << 16:
+            return ids, 4
+        ends = (np.cumsum([len(b) for b in ids]) // 2).tolist()
+        narrow = np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes()
+        return [narrow[a:b] for a, b in zip([0, *ends], ends, strict=False)], 2
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, drops_space: bool) -> CachedEncoder:
+    """One encoder for each tokenizer in a worker process, so that later tasks find the words of earlier ones."""
+    return CachedEncoder(path, drops_space)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
