@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop, scratch, small, table
-from .tokens import CachedEncoder, slices, texts_of, tokenizer_path
+from .tokens import encoder, slices, texts_of, tokenizer_path
 
 MAGIC = b"LGV1"
 BLOCK_IDS = 1 << 18
@@ -81,14 +81,13 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _tokenise(path: str, drops_space: bool, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = CachedEncoder(path, drops_space), np.array([end_id], "<u4").tobytes()
-        wide = np.dtype("<u2") if encoder.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        encode = encoder(path, drops_space).encode_narrow
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids = [b + end for b in encoder.encode(texts_of(batch))]
-                if wide.itemsize == 2:
-                    ids = [np.frombuffer(b, "<u4").astype(wide).tobytes() for b in ids]
-                n = [len(b) // wide.itemsize for b in ids]
+                ids, width = encode(texts_of(batch))
+                end = end_id.to_bytes(width, "little")
+                ids = [b + end for b in ids]
+                n = [len(b) // width for b in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "row", "n_tokens", "ids"])
 
     return run
@@ -100,12 +99,12 @@ def _wide(ids: bytes, n: int) -> np.ndarray:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = np.bincount(_wide(ids, n), minlength=len(total))
-            if len(found) > len(total):
-                total = np.pad(total, (0, len(found) - len(total)))
-            total += found
+    for whole in batches:
+        for batch in slices(whole, "ids"):
+            ids = [_wide(b, n) for b, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            found = np.bincount(np.concatenate(ids), minlength=len(total))
+            found[: len(total)] += total
+            total = found
     have = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array(total[have], pa.int64())], names=["id", "n"])
 
