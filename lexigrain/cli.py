@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from lexigrain.operators.report import compare, comparison_summary, comparison_table
 from lexigrain.operators.rewrite import like_indexed
 from lexigrain.session import get_session
@@ -29,7 +31,7 @@ def benchmark(args: argparse.Namespace) -> None:
     spark = get_session()
     table = open_index(spark, args.path)
     chosen = [i for i in range(len(PAIRS)) if not args.filter or i in args.filter]
-    scan = lambda p: table.docs.where(table.docs.title.like(p))
+    scan = lambda p: table.docs.where(F.col("title").like(p))
     results = compare(spark, [(i, lambda p=PAIRS[i]: scan(p), lambda p=PAIRS[i]: like_indexed(table, p)) for i in chosen])
     comparison_table(results, table.manifest.doc_count).show(len(PAIRS), truncate=False)
     comparison_summary(results).show()
