@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -18,19 +17,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def same_as_sql(df, sql: str, sf_dir: str) -> None:
-    """Rows of ``df`` equal those of DuckDB over the same tables, in any order."""
-    import duckdb
-
-    con = duckdb.connect()
-    for p in Path(sf_dir).glob("*.parquet"):
-        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    want = con.sql(sql)
-    names = sorted(df.columns)
-    assert names == sorted(want.columns)
-    key = lambda r: tuple((v is None, round(v, 6) if isinstance(v, float) else v) for v in r)
-    mine = sorted(key(tuple(r[c] for c in names)) for r in df.collect())
-    theirs = sorted(key(r) for r in want.select(*names).fetchall())
-    assert mine == theirs
