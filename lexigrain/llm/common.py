@@ -20,6 +20,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Scratch folders made in this process, oldest first.
+made: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
@@ -30,7 +34,8 @@ def scratch(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="lexigrain-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(__import__("shutil").rmtree, root, ignore_errors=True)
-    return f"{root.rstrip('/')}/lexigrain-{uuid.uuid4().hex}"
+    made.append(f"{root.rstrip('/')}/lexigrain-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def table(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
@@ -46,6 +51,20 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written with a number of its own in each row, and the name of that column."""
+    row = fresh(df, "_row")
+    return table(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def small(side: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only where the counted ``rows`` of ``side`` are within ``limit``."""
     return F.broadcast(side) if rows <= limit else side

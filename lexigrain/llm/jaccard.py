@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small, table
+from .common import BROADCAST_ROWS, numbered, small, table
 from .components import components
-from .tokens import slices
+from .tokens import forget, slices
 from .wordhash import SECOND_FACTOR, U64, Words, mix, sequence_hashes
 
 K = 5
@@ -43,7 +43,7 @@ LIST = 64
 #: Shingles, and documents, in a block at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 1024
 #: Postings, and fingerprints, that a task holds before it hands them on; fingerprints in a range.
-FLUSH, RANGE = 1 << 21, 1 << 22
+FLUSH, RANGE = 1 << 19, 1 << 21
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> list[np.ndarray]:
@@ -84,6 +84,7 @@ def _count_out(ranges: int):
         return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["part", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, size = [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -158,6 +159,7 @@ def _sets_out(hot):
     """Per row: doc_id, text_hash, n, digest, and the posted shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         fingerprints, levels = hot.value
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -337,7 +339,7 @@ def _exact_links(docs: DataFrame, reps: DataFrame, candidates: DataFrame, id_col
     none = F.array().cast("array<struct<a:int,p:int,b:int,q:int,side:int>>")
     blocks = F.concat(same.cast("array<struct<a:int,p:int,b:int,q:int,side:int>>"), *(F.when((F.col("level") > 0) & x[1].isNotNull(), x[0].cast("array<struct<a:int,p:int,b:int,q:int,side:int>>")).otherwise(none) for x in ((up, F.col("parts_above")), (down, F.col("parts_below")))))
     placed = table(own.select("cluster", "owner", "doc_id", "text_hash", blocks.alias("blocks")))
-    n = placed.count()
+    n = placed.agg(F.sum(F.size("blocks"))).first()[0]
     if not n:
         return spark.createDataFrame([], "u long, v long")
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
@@ -352,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    ranges = max(8, chars // 6 // RANGE + 1)  # a shingle every six characters or so
+    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // 6 // RANGE + 1)  # a shingle every six characters or so
     hot = spark.sparkContext.broadcast(hot_shingles(docs, ranges, text_col))
     kind = base.schema["doc_id"].dataType.simpleString()
     sets = table(base.mapInArrow(_sets_out(hot), f"doc_id {kind}, text_hash long, n long, digest1 long, digest2 long, prefix binary"))
@@ -381,10 +383,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The document with the smallest identifier stays; documents without words aren't grouped, and stay.
     """
-    numbered = table(docs.withColumn("_row", F.monotonically_increasing_id()))
-    grouped = near_duplicates(numbered.select(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("doc_id"), F.col(text_col).alias("text")))
-    stay = grouped.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("_row"))
-    return numbered.join(stay, "_row", "left_semi").drop("_row")
+    rows, row = numbered(docs)
+    grouped = near_duplicates(rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("doc_id"), F.col(text_col).alias("text")))
+    stay = grouped.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,15 +20,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks, and pieces, whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 #: Longest chunk that is remembered.
 CACHE_CHARS = 64
 #: Bytes of text that a worker handles at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Where a byte-level text may be cut: before ASCII white space that follows anything else.
 _CHUNK = re.compile("[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space outside ASCII joins runs of white space over such a cut; texts with it are encoded whole.
 _ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: What a text of words between single spaces and line breaks neither starts or ends with, nor has inside.
+_BREAKS, _DOUBLE = ("", " ", "\n"), ("  ", "\n\n", " \n", "\n ")
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 #: The endings that both tokenizers cut off as pieces.
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -83,13 +85,23 @@ class CachedEncoder:
         self.model = self.tok.model
         self.drops_space, self.limit = drops_space, cache_words
         self.find = (_WORD_PIECE if drops_space else _BYTE_PIECE).findall
-        self.chunks, self.pieces = _Ids(self._chunk), _Ids(self._piece)
+        self.chunks, self.spaced, self.pieces = _Ids(self._chunk), _Ids(self._spaced), _Ids(self._piece)
 
     def _cut(self, text: str) -> list[str]:
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
         return [text] if _ODD_SPACE.search(text) else _CHUNK.findall(text)
 
+    def _spaced(self, word: str) -> bytes:
+        return self._chunk(word if word[0] == "\n" else " " + word)
+
+    def _ids(self, text: str) -> bytes:
+        """Words between single spaces and line breaks need no search for chunks: after a space they stand alone."""
+        if self.drops_space or text[:1] in _BREAKS or text[-1] in _BREAKS or any(b in text for b in _DOUBLE):
+            return b"".join(map(self.chunks.__getitem__, self._cut(text)))
+        first, *words = text.replace("\n", " \n").split(" ")
+        return self.chunks[first] + b"".join(map(self.spaced.__getitem__, words))
+
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii() or piece[0] in " \n":
             piece = piece.encode().decode("latin-1").translate(_BYTE_LETTER)
@@ -109,11 +121,10 @@ class CachedEncoder:
         return _bytes(self.tok.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.chunks, self.pieces):
+        for cache in (self.chunks, self.spaced, self.pieces):
             if len(cache) > self.limit:
                 cache.clear()
-        ids = self.chunks.__getitem__
-        return [b"".join(map(ids, self._cut(t))) for t in texts]
+        return [self._ids(t) for t in texts]
 
     def encode_narrow(self, texts: list[str]) -> tuple[list[bytes], int]:
         """The same ids in as few bytes each as the vocabulary needs, 2 or 4, and that number."""
@@ -131,6 +142,11 @@ def encoder(path: str, drops_space: bool) -> CachedEncoder:
     return CachedEncoder(path, drops_space)
 
 
+def forget() -> None:
+    """Give the memory of remembered words back; a worker that turns to another operator calls it."""
+    encoder.cache_clear()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of ``column``, one row at least."""
     if not batch.num_rows:

@@ -37,7 +37,7 @@ class _Powers:
 
     def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = max(n, len(self.up) * 5 // 4)
             for name, by in (("up", self.factor), ("down", self.inverse)):
                 steps = np.full(size, by, U64)
                 steps[0] = 1
