@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
-from .tokens import slices
+from .tokens import forget, slices
 from .wordhash import U64, Words, mix
 
 #: Labelled documents that are learnt from, at most.
@@ -65,12 +65,13 @@ def line_features(column: pa.Array) -> Lines:
     again = np.zeros(len(words.hash) + 1, np.int64)
     if len(words.hash) > 1:
         same = words.hash[1:] == words.hash[:-1]
-        same[np.clip(words.first[1:-1] - 1, 0, len(same) - 1)] = False
+        borders = words.first[(words.first > 0) & (words.first < len(words.hash))]
+        same[borders - 1] = False
         again[2:] = np.cumsum(same)
     own[:, 7] = (again[at[1:]] - again[at[:-1]]) / np.maximum(n, 1)
     own[:, 8] = np.log1p(size) / 8
     own[:, 9] = np.minimum(size / np.maximum(n, 1) / 10, 5)
-    sums = np.concatenate([[0], np.cumsum(words.hash, dtype=U64)]).astype(U64)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(words.hash, dtype=U64)])
     line = mix(sums[at[1:]] - sums[at[:-1]])
     inner = np.zeros(len(begin), bool)
     inner[1:] = True
@@ -151,6 +152,7 @@ def score(model: Model, column: pa.Array) -> np.ndarray:
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score(model, batch.column(batch.num_columns - 1)))], names=[*batch.schema.names[:-1], "score"])
@@ -166,11 +168,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: st
     """Fit on the ``most`` labelled documents with the smallest hash, of those that aren't held out."""
     chosen = labels.where(~held_out(F.col(id_col)) & F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_good"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col("_id"), "_good", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_good", "text")
     sample = sample.dropDuplicates(["_id"]).orderBy("_id").toArrow()
     if not sample.num_rows:
         return Model(np.zeros(3 * OWN), np.zeros((2, 2)), 0.5)
-    return fit(line_features(sample.column("text")), np.asarray(sample.column("_good")).astype(int))
+    parts = [line_features(part.column("text")) for batch in sample.select(["text"]).to_batches() for part in slices(batch, "text")]
+    ends = np.cumsum([0, *(len(p.size) for p in parts)])
+    first = np.concatenate([p.first[:-1] + at for p, at in zip(parts, ends.tolist(), strict=False)] + [ends[-1:]])
+    lines = Lines(np.concatenate([p.features for p in parts]), np.concatenate([p.size for p in parts]), first)
+    return fit(lines, np.asarray(sample.column("_good")).astype(int))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,6 +191,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in slices(whole, text_col):
                 yield batch.filter(pa.array(score(model, batch.column(batch.schema.get_field_index(text_col))) >= 0.5))
