@@ -280,8 +280,8 @@ class _Reader(_Bits):
         groups, tile, per_row, choice = 1, 0, 0, None
         if main and self.read(1):
             tile = self.read(3) + 2
-            per_row = -(-width >> tile) if width & ((1 << tile) - 1) == 0 else (width >> tile) + 1
-            choice = (self.image(per_row, -(-height // (1 << tile)), False) >> 8 & 0xFFFF).tolist()
+            per_row = -(-width >> tile)
+            choice = (self.image(per_row, -(-height >> tile), False) >> 8 & 0xFFFF).ravel().tolist()
             groups = max(choice) + 1
         cache = [0] * (1 << cache_bits) if cache_bits else []
         sizes = (ALPHABETS[0] + len(cache), *ALPHABETS[1:])
@@ -522,14 +522,19 @@ class _Batch:
                 at[w] += times
         return out
 
-    def pixels(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Green and alpha of ``count`` pixels of each stream, and where each stream's pixels start."""
+    def pixels(self, count: np.ndarray, grey: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Green and alpha of ``count`` pixels of each stream, and where each stream's pixels start.
+
+        Red and blue aren't kept; with ``grey``, streams that have any leave the common layout.
+        """
         s = self.s
         tables = []
         for alphabet in ALPHABETS:
             bits, table, sound = _tables(self.lengths(alphabet))
             self.odd |= ~sound
             tables.append((bits, table))
+        if grey:
+            self.odd |= (tables[1][1] >> 4).any(1) | (tables[2][1] >> 4).any(1)
         begin = np.cumsum(count) - count
         green, alpha = np.zeros(int(count.sum()), np.uint8), np.zeros(int(count.sum()), np.uint8)
         here, last = begin.copy(), begin + count
@@ -612,12 +617,12 @@ def decode_many(images: list[bytes]) -> list[np.ndarray]:
     b.odd |= (head["sign"] != 0x2F) | (head["version"] != 0) | (head["more"] != 1) | (head["kind"] != 3) | (head["cache"] != 0)
     width, height, colours = head["width"] + 1, head["height"] + 1, head["colours"] + 1
     count = np.where(b.odd, 1, colours)
-    table, table_alpha, first = b.pixels(count)
+    table, table_alpha, first = b.pixels(count, True)
     for _ in range(3):  # no other transform, no colour cache, one group of codes
         b.odd |= s.read(1, b.all) != 0
     shift = np.select([colours <= 2, colours <= 4, colours <= 16], [3, 2, 1], 0)
     own = -(-width // (1 << shift))
-    green, _, begin = b.pixels(np.where(b.odd, 1, own * height))
+    green, _, begin = b.pixels(np.where(b.odd, 1, own * height), False)
     out = []
     for i, image in enumerate(images):
         if b.odd[i]:
