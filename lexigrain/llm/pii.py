@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table
+from .common import fresh, numbered, small, table
 
 #: The kinds and their plain patterns, in the order in which they are reported.
 PATTERNS = {
@@ -33,13 +33,14 @@ PATTERNS = {
 KINDS = [*PATTERNS, "generalise", "remove"]
 GENERALISE, REMOVE, MIN_TEXTS = 0.5, 0.8, 2
 TERM = r"\p{L}{3,}"
-#: Stands for a separator inside a card number or a dot inside a host name; in the text itself it becomes an x.
-JOINT = "\ue000"
+#: Stands for a separator inside a card number or a dot inside a host name; in the text itself it becomes OTHER,
+#: which no pattern takes either.
+JOINT, OTHER = "\ue000", "\ue001"
 
 
 def _joined(text: Column, around: str, separator: str) -> Column:
     """Single separators between two characters of ``around`` become JOINT; places stay as they are."""
-    return F.regexp_replace(F.translate(text, JOINT, "x"), f"(?<={around}){separator}(?={around})", JOINT)
+    return F.regexp_replace(F.translate(text, JOINT, OTHER), f"(?<={around}){separator}(?={around})", JOINT)
 
 
 def _sought(text: Column) -> dict[str, tuple[Column, Column, str]]:
@@ -165,15 +166,16 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with spans replaced: base kinds by their name in brackets, general terms by [TERM], others left out."""
-    numbered = table(docs.withColumn("_row", F.monotonically_increasing_id()))
-    everything, spans = _spans(numbered.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    rows, row = numbered(docs)
+    everything, spans = _spans(rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     label = F.when(F.col("kind") == "remove", "").when(F.col("kind") == "generalise", "[TERM]").otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
-    of_row = spans.join(everything.withColumnRenamed("doc_id", "_row"), "row").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", label.alias("label")))).alias("_spans"))
-    joined = numbered.join(of_row, "_row", "left")
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], F.col(text_col).substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), s["label"]).alias("out"), s["end"].alias("at")))
+    found = fresh(rows, "_spans")
+    of_row = spans.join(everything.withColumnRenamed("doc_id", row), "row").groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", label.alias("label")))).alias(found))
+    text = F.col(text_col)
+    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), s["label"]).alias("out"), s["end"].alias("at")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.col(text_col).substr((a["at"] + 1).cast("int"), F.length(text_col))))
-    return joined.withColumn(text_col, F.coalesce(done, F.col(text_col))).select(*docs.columns)
+    done = F.aggregate(found, start, step, lambda a: F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))))
+    return rows.join(of_row, row, "left").withColumn(text_col, F.coalesce(done, text)).select(*docs.columns)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
