@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, key60, ranked, small, table
+from .common import WORD, fresh, key60, numbered, ranked, small, table
 
 MAX_EPOCHS = 3
 RANGE_ROWS = 1024
@@ -51,10 +51,10 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoc
     return per.withColumn("target", target), total["n"]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size=None, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size=None, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, key_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, and row, its place in the scan."""
     size = word_count(F.col("text")) if size is None else size
-    key = key60(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    key = key60(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key_col or id_col).cast("string"), F.lit("null"))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"))
     rows = table(rows)  # the sizes are counted once
     per, n = source_targets(rows, weights)
@@ -76,18 +76,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "row")
 
 
-def repeat_rows(docs: DataFrame, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
     """The mixed corpus: each row as often as the mix takes it; the row at the cut is taken whole if at least half of it is.
 
     Texts without words carry no budget and stay once.
     """
-    numbered = table(docs.withColumn("_row", F.monotonically_increasing_id()))
-    keyed = numbered.select(F.col("_row").alias("doc_id"), "source", "text")
-    taken = mix(keyed, seed=seed).select(F.col("doc_id").alias("_row"), "size", "taken")
+    rows, row = numbered(docs)
+    times_col = fresh(rows, "_times")
+    named = rows.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("doc_id"), F.col(id_col).alias("key"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    taken = mix(named, seed=seed, key_col="key")
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    times = taken.select("_row", times.alias("_times"))
-    rows = numbered.join(times, "_row").where("_times > 0")
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = taken.select(F.col("doc_id.row").alias(row), times.alias(times_col)).where(F.col(times_col) > 0)
+    rows = rows.join(times, row)
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times_col))).alias(fresh(rows, "_time"))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key60, small, table
+from .common import fresh, key60, numbered, small, table
 
 #: Bytes of text in a shard at most, as the registered query uses it.
 SHARD_BYTES = 64 << 20
@@ -81,12 +81,16 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, key: Column | None = None,
     return done
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id") -> DataFrame:
-    """Write ``docs`` with one folder per shard below ``path`` and return the shard of each identifier."""
-    placed = shard(docs, limit, id_col=id_col).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    rows = docs.join(placed, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id").withColumn("shard", F.concat(F.lit("s"), F.translate("shard", "/", "-")))
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
-    return placed.withColumnRenamed("_id", "doc_id")
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write ``docs`` with one folder per shard below ``path`` and return the shard of each row."""
+    rows, row = numbered(docs)
+    placed = shard(rows.select(F.struct(F.col(row).alias("row"), F.col(id_col).alias("id")).alias("doc_id"), F.col(text_col).alias("text")), limit, key=F.col("doc_id.id"))
+    placed = table(placed.select(F.col("doc_id.row").alias(row), F.col("doc_id.id").alias("doc_id"), "shard"))
+    name = fresh(rows, "shard")
+    folder = F.concat(F.lit("s"), F.translate("shard", "/", "-")).alias(name)
+    out = rows.join(placed.select(row, folder), row).drop(row)
+    out.repartition(name).write.partitionBy(name).parquet(path)
+    return placed.select("doc_id", "shard")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
