@@ -32,21 +32,32 @@ BLOCK_IDS = 1 << 18
 #: Identifiers in a range of documents that is sorted by one task.
 RANGE_IDS = 8_000_000
 #: Bytes of the four ranks that a control byte describes.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
+
+
+def _padding(sizes: np.ndarray) -> np.ndarray:
+    """Which of the fours of codes only fill a document's last control byte."""
+    ends = np.cumsum(-(-sizes // 4)) * 4
+    pad = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    for k in (1, 2, 3):
+        pad[ends[sizes % 4 == 4 - k] - np.arange(1, k + 1)[:, None]] = True
+    return pad
 
 
 def encode_ranks(ranks: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """The control bytes and the data bytes of each document; sizes are its numbers of ranks, at least one each."""
-    ranks = ranks.astype("<u4")
-    lens = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    width = 2 if not len(ranks) or int(ranks.max()) < 1 << 16 else 4
+    ranks = ranks.astype(f"<u{width}")
+    extra = (ranks > 0xFF).astype(np.uint8)
+    if width > 2:
+        extra += (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF)
+    lens = extra + np.uint8(1)
     bytes_of = -(-sizes // 4)
     first = np.cumsum(bytes_of) - bytes_of
-    at = np.arange(len(ranks)) + np.repeat(first * 4 - (np.cumsum(sizes) - sizes), sizes)
     codes = np.zeros(int(bytes_of.sum()) * 4, np.uint8)
-    codes[at] = lens - 1
-    codes = codes.reshape(-1, 4)
-    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).astype(np.uint8).tobytes()
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lens[:, None]].tobytes()
+    codes[~_padding(sizes)] = extra
+    control = (codes[::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, width)[np.arange(width) < lens[:, None]].tobytes()
     ends = np.cumsum(lens, dtype=np.int64)[np.cumsum(sizes) - 1]
     controls = [control[a : a + n] for a, n in zip(first.tolist(), bytes_of.tolist(), strict=True)]
     return controls, [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
@@ -66,16 +77,14 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     begin = 8 + 4 * n
     control = np.frombuffer(block, np.uint8, int(bytes_of.sum()), begin)
     data = np.frombuffer(block, np.uint8, offset=begin + len(control))
-    first = np.cumsum(bytes_of) - bytes_of
-    at = np.arange(int(sizes.sum())) + np.repeat(first * 4 - (np.cumsum(sizes) - sizes), sizes)
-    lens = LENGTHS[control].ravel()[at]
-    start = np.cumsum(lens) - lens
+    lens = LENGTHS[control].ravel()[~_padding(sizes)]
+    start = np.cumsum(lens, dtype=np.int64) - lens
     if int(lens.sum()) != len(data):
         raise ValueError("a block of token ids is cut short")
     ranks = data[start].astype(np.uint32)
-    for k in (1, 2, 3):
-        more = np.flatnonzero(lens > k)
-        ranks[more] |= data[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    data = np.append(data, np.zeros(3, np.uint8))
+    for k in range(1, int(lens.max(initial=1))):
+        ranks |= np.where(lens > k, data[start + k], 0).astype(np.uint32) << np.uint32(8 * k)
     return sizes, ranks
 
 
