@@ -41,7 +41,7 @@ HOT, HOT_LIST = 16, 1 << 20
 #: Longest posting list whose pairs are counted.
 LIST = 64
 #: Shingles, and documents, in a block at most.
-BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 1024
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 256
 #: Postings, and fingerprints, that a task holds before it hands them on; fingerprints in a range.
 FLUSH, RANGE = 1 << 19, 1 << 21
 
