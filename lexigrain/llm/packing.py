@@ -5,8 +5,8 @@ lengths, which has as many entries as the capacity at most:
 
 * Configurations (multisets of lengths that fit) are variables of the covering LP "fewest sequences that hold all
   pieces".  Multiplicative weights solve it: weights of lengths price pieces, a knapsack dynamic program finds the
-  best configuration at these prices, and the weights of what it covers shrink.  Prices and knapsack work on
-  lengths rounded up to UNIT tokens.
+  best configuration at these prices, and the weights of what it covers shrink.  Prices and knapsack of many lengths
+  work on lengths rounded up to UNIT tokens.
 * Rounding: configurations are used as often as their whole parts say and pieces last.  They take exact lengths,
   longest first, and what remains goes, longest first, where it fits best.
 
@@ -32,7 +32,8 @@ from .common import small, table
 from .tokens import encoder, slices, texts_of, tokenizer_path
 
 CAPACITY = 4096
-UNIT = 8
+#: Tokens in a unit of the knapsack where there are more than EXACT_LENGTHS lengths.
+UNIT, EXACT_LENGTHS = 8, 64
 ROUNDS = 600
 RATE = 0.5
 
@@ -127,8 +128,18 @@ def _exact(config: tuple, classes: np.ndarray, left: np.ndarray, times: int, uni
     return taken
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT) -> list[tuple[Recipe, int]]:
-    """Recipes and how many sequences follow each; together they hold the histogram exactly."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Recipe, int]]:
+    """Recipes and how many sequences follow each; together they hold the histogram exactly.
+
+    Few lengths are priced exactly, many in units.  Of two roundings, the program's whole parts with best fit for
+    the rest, and best fit for all, the one with fewer sequences is kept.
+    """
+    lengths = sum(n > 0 for n in histogram.values())
+    rounded = _rounded(histogram, capacity, UNIT if lengths > EXACT_LENGTHS else 1, min(ROUNDS, 8 * lengths))
+    return min(rounded, _rounded(histogram, capacity, UNIT, 0), key=lambda recipes: sum(n for _, n in recipes))
+
+
+def _rounded(histogram: dict[int, int], capacity: int, unit: int, rounds: int) -> list[tuple[Recipe, int]]:
     left = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         left[size] = n
@@ -138,8 +149,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT)
     bins = _Bins(capacity)
     room = capacity // unit
     inner = sizes[sizes <= room]
-    if len(inner):
-        for config, x in sorted(configuration_lp(inner, counts[inner].astype(float), room).items(), key=lambda c: (-c[1], c[0])):
+    if len(inner) and rounds:
+        for config, x in sorted(configuration_lp(inner, counts[inner].astype(float), room, rounds).items(), key=lambda c: (-c[1], c[0])):
             times = min(int(x), *(int(counts[inner[j]]) // k for j, k in config))
             while times > 0:
                 most = times  # fewer at once where a class runs out of one exact length
