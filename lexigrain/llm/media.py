@@ -26,7 +26,7 @@ from .webp import decode_many, encode_many
 
 ROW, TILE_ROWS = 192, 64
 #: Bytes of text, and of media, that a worker handles at once.
-TEXT_BYTES, MEDIA_BYTES = 6 << 20, 4 << 20
+TEXT_BYTES, MEDIA_BYTES = 3 << 20, 3 << 20
 
 
 def payload_of(text: str) -> bytes:

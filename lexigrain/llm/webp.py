@@ -172,8 +172,8 @@ def encode_many(samples: list[np.ndarray], width: int) -> list[bytes]:
         image.put([0], [n])
     values = np.concatenate([v for i in images for v in i.values])
     sizes = np.concatenate([s for i in images for s in i.sizes])
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    packed = np.packbits((np.repeat(values, sizes) >> within & 1).astype(np.uint8), bitorder="little").tobytes()
+    within = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+    packed = np.packbits(np.repeat(values.astype(np.uint16), sizes) >> within.astype(np.uint8) & 1, bitorder="little").tobytes()
     ends = np.cumsum((bits + pad) // 8).tolist()
     out = []
     for a, b in zip([0, *ends], ends, strict=False):
