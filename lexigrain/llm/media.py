@@ -25,6 +25,8 @@ from .tokens import slices, texts_of
 from .webp import decode_many, encode_many
 
 ROW, TILE_ROWS = 192, 64
+#: Tiles that are written, or read, together at most.
+TILES = 4096
 #: Bytes of text, and of media, that a worker handles at once.
 TEXT_BYTES, MEDIA_BYTES = 3 << 20, 3 << 20
 
@@ -41,7 +43,7 @@ def to_media(texts: list[str]) -> list[bytes]:
         cuts = range(0, len(samples), ROW * TILE_ROWS)
         tiles += [samples[a : a + ROW * TILE_ROWS] for a in cuts]
         counts.append(len(cuts))
-    files = encode_many(tiles, ROW)
+    files = [f for at in range(0, len(tiles), TILES) for f in encode_many(tiles[at : at + TILES], ROW)]
     ends = np.cumsum(counts).tolist()
     return [b"".join(files[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -61,8 +63,9 @@ def files_of(media: bytes) -> list[bytes]:
 def from_media(media: list[bytes]) -> list[bytes]:
     """The payloads of media values: the green samples of their pixel arrays."""
     files = [files_of(m) for m in media]
-    pixels = iter(decode_many([f for own in files for f in own]))
-    return [b"".join((next(pixels) >> 8 & 255).astype(np.uint8).tobytes() for _ in own) for own in files]
+    every = [f for own in files for f in own]
+    samples = ((p >> 8 & 255).astype(np.uint8).tobytes() for at in range(0, len(every), TILES) for p in decode_many(every[at : at + TILES]))
+    return [b"".join(next(samples) for _ in own) for own in files]
 
 
 def feature(payload: bytes) -> str:
