@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch, table
+from .common import SPACE, numbered, scratch, table
 
 #: Bits of the shared-digest bitmap at most (16 MB, broadcast): beyond it only more texts are compared.
 FILTER_BITS = 1 << 27
@@ -97,9 +97,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     collided = None
     if n:
         hits = table(_maybe_shared(whole, shared, n).join(shared.select("digest", "keep_id"), "digest"), f"{index.path}/hits", compression="zstd")
-        stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("stays"))
+        # Written, so that the join below is of two plain shuffles, whose large groups Spark can split.
+        stays = table(hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("stays")), f"{index.path}/stays", compression="zstd")
         differ = hits.join(stays, "digest").where(F.col("norm") != F.col("stays"))
-        collided = table(differ.select("digest").distinct(), f"{index.path}/collided")
+        collided = table(differ.select("digest"), f"{index.path}/collided")  # none as a rule; a distinct() would bind the join to one task per digest
     found = runs.join(compacted, "digest")
     columns = ["doc_id", "keep_id", "group_size", (F.col("seq") == F.col("keep_seq")).alias("kept"), "digest"]
     if collided is None or collided.isEmpty():
@@ -128,7 +129,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered = table(docs.withColumn("_row", F.monotonically_increasing_id()))
-    kept = exact_dedup(numbered.select(F.struct(F.col(id_col), "_row").alias("doc_id"), F.col(text_col).alias("text")))
-    kept = kept.where("kept").select(F.col("doc_id._row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    rows, row = numbered(docs)
+    kept = exact_dedup(rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("doc_id"), F.col(text_col).alias("text")))
+    kept = kept.where("kept").select(F.col("doc_id.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
