@@ -1,8 +1,9 @@
 """Token ids in files: frequency-ranked ids in byte-aligned variable-length coding, control bytes kept apart.
 
-Every id is replaced by its rank in the corpus' frequency order, so common ids take one byte.  A control byte
-holds the byte counts of four ranks; decoding looks the 256 control bytes up in a table, gathers the bytes of all
-ranks of a block at once with numpy, and looks the ids up by rank.
+Every id is replaced by its rank in the corpus' frequency order, so common ids take one byte; tasks count the ids
+that they make, over all documents.  A control byte holds the byte counts of four ranks; decoding looks the 256
+control bytes up in a table, gathers the bytes of all ranks of a block at once with numpy, and looks the ids up by
+rank.
 
 Format: a table of blocks in ascending document order (a folder of Parquet files, so any store that Spark reaches
 can hold it) beside a table of ranks.  A block is
@@ -29,6 +30,8 @@ from .tokens import encoder, slices, texts_of, tokenizer_path
 
 MAGIC = b"LGV1"
 BLOCK_IDS = 1 << 18
+#: Words that a worker remembers here; more than elsewhere, as spaces make words differ.
+CACHE_WORDS = 800_000
 #: Identifiers in a range of documents that is sorted by one task.
 RANGE_IDS = 8_000_000
 #: Bytes of the four ranks that a control byte describes.
@@ -88,16 +91,23 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sizes, ranks
 
 
+_RAW = ["doc_id", "row", "n_tokens", "ids", "counts"]
+
+
 def _tokenise(path: str, drops_space: bool, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, drops_space).encode_narrow
+        encode, total = encoder(path, drops_space, CACHE_WORDS).encode_narrow, np.zeros(0, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, width = encode(texts_of(batch))
                 end = end_id.to_bytes(width, "little")
                 ids = [b + end for b in ids]
                 n = [len(b) // width for b in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "row", "n_tokens", "ids"])
+                found = np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.binary())], names=_RAW)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=_RAW)
 
     return run
 
@@ -107,15 +117,12 @@ def _wide(ids: bytes, n: int) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for whole in batches:
-        for batch in slices(whole, "ids"):
-            ids = [_wide(b, n) for b, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            found = np.bincount(np.concatenate(ids), minlength=len(total))
-            found[: len(total)] += total
-            total = found
-    have = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array(total[have], pa.int64())], names=["id", "n"])
+    """Counts of tasks to rows of an id and its count."""
+    for batch in batches:
+        for counts in batch.column(0).to_pylist():
+            total = np.frombuffer(counts, "<i8")
+            have = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array(total[have])], names=["id", "n"])
 
 
 def _encode(rank_of: np.ndarray, bounds: np.ndarray):
@@ -158,14 +165,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     raw_path = scratch(spark)
-    raw = table(rows.mapInArrow(_tokenise(tokenizer, drops_space, end_id), "doc_id long, row long, n_tokens long, ids binary"), raw_path, compression="zstd")
-    counted = raw.select("ids", "n_tokens").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    raw = table(rows.mapInArrow(_tokenise(tokenizer, drops_space, end_id), "doc_id long, row long, n_tokens long, ids binary, counts binary"), raw_path, compression="zstd")
+    counted = raw.where("counts IS NOT NULL").select("counts").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counted = counted.toPandas()  # as many rows as the vocabulary has at most
     counted = counted.sort_values(["n", "id"], ascending=[False, True])
     id_of = counted["id"].to_numpy(np.int64)
     rank_of = np.zeros(int(id_of.max(initial=0)) + 1, np.uint32)
     rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
     spark.createDataFrame(list(enumerate(id_of.tolist())), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
+    raw = raw.where("counts IS NULL").drop("counts")
     parts = max(1, -(-int(counted["n"].sum()) // RANGE_IDS))
     bounds = raw.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
     bounds = np.unique(np.array(bounds, np.int64))

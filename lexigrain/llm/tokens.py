@@ -20,11 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks, and pieces, whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Longest chunk that is remembered.
 CACHE_CHARS = 64
 #: Bytes of text that a worker handles at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Where a byte-level text may be cut: before ASCII white space that follows anything else.
 _CHUNK = re.compile("[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space outside ASCII joins runs of white space over such a cut; texts with it are encoded whole.
@@ -137,9 +137,9 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, drops_space: bool) -> CachedEncoder:
+def encoder(path: str, drops_space: bool, cache_words: int = CACHE_WORDS) -> CachedEncoder:
     """One encoder for each tokenizer in a worker process, so that later tasks find the words of earlier ones."""
-    return CachedEncoder(path, drops_space)
+    return CachedEncoder(path, drops_space, cache_words)
 
 
 def forget() -> None:
