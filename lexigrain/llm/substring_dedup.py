@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import slices, texts_of
+from .tokens import forget, slices, texts_of
 from .wordhash import SECOND_FACTOR, U64, WORD_FACTOR, Words, _prefix, mix, sequence_hashes
 
 WINDOW = 13
 #: Symbols, or windows, that a task combines before it hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 #: Symbols in a range, about.
-RANGE = 1 << 21
+RANGE = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -94,18 +94,37 @@ def _group_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_SYMBOL_ROW = "part int, doc_id long, text_hash long, names binary, docs binary, hashes binary"
+#: What goes to ranges of names: windows and symbols in bytes, or, marked direct, hits that need no meeting.
+_OUT = "part int, direct boolean, docs binary, hashes binary, values binary, names binary, seconds binary"
+_OUT_KINDS = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+#: Hits (text, value) to ranges of texts.
+_HITS = "part int, docs binary, hashes binary, values binary"
+_HIT_KINDS = [pa.int32(), *[pa.binary()] * 3]
 
 
-def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+def _rows(rows: list[tuple], schema: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _dealt(part: np.ndarray, ranges: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """Columns cut by part, as bytes; rows are sorted by part."""
+    cuts = np.searchsorted(part, np.arange(ranges + 1)).tolist()
+    for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            yield (r, *(c[a:b].tobytes() for c in columns))
+
+
+def _hits(doc: np.ndarray, own: np.ndarray, value: np.ndarray, ranges: int) -> list[tuple]:
+    """Hits to ranges of texts, in few rows however many texts there are."""
+    part = (mix(doc.astype(U64) ^ mix(own.astype(U64))) % U64(ranges)).astype(np.int64)
+    order = np.lexsort((value, own, doc, part))
+    return list(_dealt(part[order], ranges, *(c[order] for c in (doc, own, value.astype("<u8")))))
+
+
 def _symbols_out(ranges: int):
-    """Symbols to ranges of names; texts' symbols that meet here go straight on (names for one text)."""
-    names = ["part", "doc_id", "text_hash", "names", "docs", "hashes"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    """Symbols to ranges of names; texts' symbols that meet here already are hits."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         symbol, doc, own = (np.concatenate([h[k] for h in held]) for k in range(3))
@@ -116,27 +135,17 @@ def _symbols_out(ranges: int):
         first = _group_starts(symbol)
         size = np.diff(np.append(first, len(symbol)))
         several = doc[first] != doc[first + size - 1]
-        out = []
-        if several.any():  # one by one to the texts
-            met = np.repeat(several, size)
-            s, d, o = symbol[met], doc[met], own[met]
-            order = np.lexsort((s, o, d))
-            s, d, o = s[order], d[order], o[order]
-            cuts = _group_starts(d, o)
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)], strict=False):
-                out.append((int(s[a] % U64(ranges)), int(d[a]), int(o[a]), s[a:b].tobytes(), None, None))
+        met = np.repeat(several, size)
+        out = [(r, True, d, o, v, None, None) for r, d, o, v in _hits(doc[met], own[met], symbol[met], ranges)]
         # Documents tied in one identifier all stand for it.
-        stand = np.repeat(~several, size)
+        stand = ~met
         stand[first] = True
         symbol, doc, own = symbol[stand], doc[stand], own[stand]
-        part = _parts(symbol, ranges)
-        cuts = np.searchsorted(part, np.arange(ranges + 1))
-        for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if b > a:
-                out.append((r, None, None, symbol[a:b].tobytes(), doc[a:b].tobytes(), own[a:b].tobytes()))
-        return _rows(out, names, kinds)
+        out += [(r, False, d, o, v, None, None) for r, d, o, v in _dealt(_parts(symbol, ranges), ranges, doc, own, symbol)]
+        return _rows(out, _OUT, _OUT_KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, size = [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -168,59 +177,66 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text, symbols that other documents have as well."""
+def _columns(rows: list[tuple], kinds: dict[int, str]) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in kinds.items()]
+
+
+def _shared(ranges: int):
+    """Symbols that several documents have, as hits of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_part(batches):
+            out = [(r[0], *r[2:5]) for r in rows if r[1]]
+            if held := [r for r in rows if not r[1]]:
+                doc, own, symbol = _columns(held, {2: "<i8", 3: "<i8", 4: "<u8"})
+                order = np.lexsort((own, doc, symbol))
+                symbol, doc, own = symbol[order], doc[order], own[order]
+                first = _group_starts(symbol)
+                size = np.diff(np.append(first, len(symbol)))
+                met = np.repeat(doc[first] != doc[first + size - 1], size)
+                out += _hits(doc[met], own[met], symbol[met], ranges)
+            yield _rows(out, _HITS, _HIT_KINDS)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of distinct values for each text of a range."""
     for rows in _by_part(batches):
-        out = [(r[1], r[2], r[3]) for r in rows if r[4] is None]
-        held = [r for r in rows if r[4] is not None]
-        if held:
-            symbol, doc, own = (np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in ((3, "<u8"), (4, "<i8"), (5, "<i8")))
-            order = np.lexsort((own, doc, symbol))
-            symbol, doc, own = symbol[order], doc[order], own[order]
-            first = _group_starts(symbol)
-            size = np.diff(np.append(first, len(symbol)))
-            met = np.repeat(doc[first] != doc[first + size - 1], size) if len(first) else np.zeros(0, bool)
-            s, d, o = symbol[met], doc[met], own[met]
-            order = np.lexsort((s, o, d))
-            s, d, o = s[order], d[order], o[order]
-            cuts = _group_starts(d, o)
-            out += [(int(d[a]), int(o[a]), s[a:b].tobytes()) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)], strict=False)]
-        yield _rows(out, ["doc_id", "text_hash", "names"], [pa.int64(), pa.int64(), pa.binary()])
-
-
-_WINDOW_ROW = "part int, doc_id long, text_hash long, places binary, names binary, seconds binary, docs binary, hashes binary, at binary"
-_WINDOW_KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
-
-
-def _covered(name, second, doc, own, at) -> tuple[list[tuple], tuple]:
-    """Of windows that meet, per text the places of those that a smaller document has; and those of the smallest."""
+        doc, own, value = _columns(rows, {1: "<i8", 2: "<i8", 3: "<u8"})
+        order = np.lexsort((value, own, doc))
+        doc, own, value = doc[order], own[order], value[order]
+        keep = _group_starts(doc, own, value)
+        doc, own, value = doc[keep], own[keep], value[keep]
+        cuts = _group_starts(doc, own)
+        ends = [*cuts[1:].tolist(), len(doc)]
+        values = [value[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(own[cuts]), pa.array(values, pa.binary())], names=["doc_id", "text_hash", "hits"])
+
+
+def _covered(name, second, doc, own, at, *more) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Windows in order of their names, and which of them a smaller document has as well."""
     order = np.lexsort((at, own, doc, second, name))
-    name, second, doc, own, at = (c[order] for c in (name, second, doc, own, at))
-    first = _group_starts(name, second)
-    size = np.diff(np.append(first, len(name)))
-    least = np.repeat(doc[first], size) if len(first) else doc
-    hit = doc > least
-    d, o, p = doc[hit], own[hit], at[hit]
-    order = np.lexsort((p, o, d))
-    d, o, p = d[order], o[order], p[order]
-    cuts = _group_starts(d, o)
-    out = [(int(d[a]), int(o[a]), p[a:b].astype("<u4").tobytes()) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(p)], strict=False)]
-    return out, tuple(c[~hit] for c in (name, second, doc, own, at))
+    columns = [c[order] for c in (name, second, doc, own, at, *more)]
+    first = _group_starts(*columns[:2])
+    least = np.repeat(columns[2][first], np.diff(np.append(first, len(order))))
+    return columns[2] > least, columns
 
 
 def _windows_out(ranges: int):
-    """Windows with shared symbols to ranges of names, combined; covered places of texts go straight on."""
-    names = [c.split()[0] for c in _WINDOW_ROW.split(", ")]
+    """Windows with shared symbols to ranges of these, combined; places that are covered here already are hits.
+
+    Neighbouring windows mostly have one symbol, so they go together.
+    """
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        hits, (name, second, doc, own, at) = _covered(*(np.concatenate([h[k] for h in held]) for k in range(5)))
-        out = [(k % ranges, d, o, p, *[None] * 5) for k, (d, o, p) in enumerate(hits)]
-        part = _parts(name, ranges)
-        cuts = np.searchsorted(part, np.arange(ranges + 1))
-        for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if b > a:
-                out.append((r, None, None, None, *(c[a:b].tobytes() for c in (name, second, doc, own)), at[a:b].astype("<u4").tobytes()))
-        return _rows(out, names, _WINDOW_KINDS)
+        hit, (name, second, doc, own, at, part) = _covered(*(np.concatenate([h[k] for h in held]) for k in range(6)))
+        out = [(r, True, d, o, v, None, None) for r, d, o, v in _hits(doc[hit], own[hit], at[hit], ranges)]
+        order = np.flatnonzero(~hit)
+        order = order[np.argsort(part[order], kind="stable")]
+        columns = (doc[order], own[order], at[order].astype("<u8"), name[order], second[order])
+        out += [(r, False, *c) for r, *c in _dealt(part[order], ranges, *columns)]
+        return _rows(out, _OUT, _OUT_KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -228,14 +244,14 @@ def _windows_out(ranges: int):
             for batch in slices(whole, "text"):
                 p = Parsed(batch.column(3))
                 doc, own = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1))
-                shared = [np.frombuffer(b"".join(b), "<u8") for b in batch.column(2).to_pylist()]
+                shared = [np.frombuffer(b, "<u8") for b in batch.column(2).to_pylist()]
                 # (text, symbol) of windows looked up in those that are shared, by one mixed key.
                 key = np.sort(mix(np.concatenate(shared) ^ mix(np.repeat(np.arange(len(shared), dtype=U64), [len(s) for s in shared]))))
                 mine = mix(p.symbol ^ mix(p.text.astype(U64)))
                 found = np.searchsorted(key, mine)
                 which = np.flatnonzero(key[np.minimum(found, len(key) - 1)] == mine)
                 text = p.text[which]
-                held.append((p.name[which], p.second_name(which), doc[text], own[text], p.start[which] - p.words.first[text]))
+                held.append((p.name[which], p.second_name(which), doc[text], own[text], p.start[which] - p.words.first[text], _parts(p.symbol[which], ranges)))
                 size += len(which)
                 if size >= FLUSH:
                     yield flush(held)
@@ -246,14 +262,19 @@ def _windows_out(ranges: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_part(batches):
-        out = [(r[1], r[2], r[3]) for r in rows if r[3] is not None]
-        held = [r for r in rows if r[3] is None]
-        if held:
-            columns = [np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in ((4, "<u8"), (5, "<u8"), (6, "<i8"), (7, "<i8"), (8, "<u4"))]
-            out += _covered(*columns)[0]
-        yield _rows(out, ["doc_id", "text_hash", "places"], [pa.int64(), pa.int64(), pa.binary()])
+def _repeats(ranges: int):
+    """Places of windows that a smaller document has, as hits of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_part(batches):
+            out = [(r[0], *r[2:5]) for r in rows if r[1]]
+            if held := [r for r in rows if not r[1]]:
+                doc, own, at, name, second = _columns(held, {2: "<i8", 3: "<i8", 4: "<u8", 5: "<u8", 6: "<u8"})
+                hit, (_, _, doc, own, at) = _covered(name, second, doc, own, at)
+                out += _hits(doc[hit], own[hit], at[hit], ranges)
+            yield _rows(out, _HITS, _HIT_KINDS)
+
+    return run
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +296,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed, kept = [], []
             for places, text in zip(batch.column(2).to_pylist(), texts_of(batch), strict=True):
                 words = text.encode().split()
-                at = np.frombuffer(b"".join(places), "<u4").astype(np.int64)
+                at = np.frombuffer(places, "<u8").astype(np.int64)
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + WINDOW, -1)
@@ -294,16 +315,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, text_hash, n_removed, kept of the texts that lose words."""
     rows = _keyed(docs, id_col, text_col)
     words = (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // 6
-    ranges = max(8, words // 4 // RANGE + 1)
-    symbols = rows.mapInArrow(_symbols_out(ranges), _SYMBOL_ROW)
-    shared = symbols.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "doc_id long, text_hash long, names binary")
-    shared = shared.groupBy("doc_id", "text_hash").agg(F.collect_list("names").alias("names"))  # as many as the text has symbols
+    ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // 4 // RANGE + 1)
+    by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
+    met = by_part(rows.mapInArrow(_symbols_out(ranges), _OUT)).mapInArrow(_shared(ranges), _HITS)
+    shared = by_part(met).mapInArrow(_gather, "doc_id long, text_hash long, hits binary")
     found = rows.join(shared, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    found = table(found.select("doc_id", "text_hash", "names", "text"), compression="zstd")
-    windows = found.mapInArrow(_windows_out(ranges), _WINDOW_ROW)
-    hits = windows.repartition("part").sortWithinPartitions("part").mapInArrow(_repeats, "doc_id long, text_hash long, places binary")
-    hits = hits.groupBy("doc_id", "text_hash").agg(F.collect_list("places").alias("places"))
-    covered = found.select("doc_id", "text_hash", "text").join(hits, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "places", "text")
+    found = table(found.select("doc_id", "text_hash", "hits", "text"), compression="zstd")
+    met = by_part(found.mapInArrow(_windows_out(ranges), _OUT)).mapInArrow(_repeats(ranges), _HITS)
+    hits = by_part(met).mapInArrow(_gather, "doc_id long, text_hash long, hits binary")
+    covered = found.select("doc_id", "text_hash", "text").join(hits, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "hits", "text")
     return covered.mapInArrow(_without, "doc_id long, text_hash long, n_removed long, kept string")
 
 
