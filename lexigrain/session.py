@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -21,10 +24,15 @@ def describe_session(spark: SparkSession) -> dict[str, str | None]:
     return {name: spark.conf.get(key, None) for name, key in keys.items()}
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A temporary folder of this process, for sessions on one machine that name no checkpoint folder."""
+    path = tempfile.mkdtemp(prefix="lexigrain-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder, or under a temporary one if that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lexigrain-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new folder under the cluster's shared checkpoint folder, or under a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{root.rstrip('/')}/lexigrain-{uuid.uuid4().hex}"

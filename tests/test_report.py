@@ -72,3 +72,15 @@ def test_small_functions(spark):
     )
     assert tuple(df.first()) == ("23M", "4K", "12", "+91-0000000007", 7, None, None, 3, 1)
     assert describe_session(spark)["time_zone"] == "UTC"
+
+
+def test_scratch_without_a_checkpoint_folder(spark):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    from lexigrain.session import scratch_dir
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default))
+    first, second = scratch_dir(bare), scratch_dir(bare)
+    assert first != second and Path(first).parent == Path(second).parent and Path(first).parent.is_dir()
+    assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
