@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrain.session import scratch_dir
+
 #: ASCII white space as the query contracts define it; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,16 +23,8 @@ made: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
-
-    A session without that setting (a test on one machine) gets a temporary folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lexigrain-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(__import__("shutil").rmtree, root, ignore_errors=True)
-    made.append(f"{root.rstrip('/')}/lexigrain-{uuid.uuid4().hex}")
+    """A new folder under the cluster's shared checkpoint folder; where that is unset, under a temporary one."""
+    made.append(scratch_dir(spark))
     return made[-1]
 
 
