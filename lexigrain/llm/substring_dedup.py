@@ -123,7 +123,7 @@ def _hits(doc: np.ndarray, own: np.ndarray, value: np.ndarray, ranges: int) -> l
     return list(_dealt(part[order], ranges, *(c[order] for c in (doc, own, value.astype("<u8")))))
 
 
-def _symbols_out(ranges: int):
+def _symbols_out(ranges: int, texts: int):
     """Symbols to ranges of names; texts' symbols that meet here already are hits."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
@@ -136,7 +136,7 @@ def _symbols_out(ranges: int):
         size = np.diff(np.append(first, len(symbol)))
         several = doc[first] != doc[first + size - 1]
         met = np.repeat(several, size)
-        out = [(r, True, d, o, v, None, None) for r, d, o, v in _hits(doc[met], own[met], symbol[met], ranges)]
+        out = [(r * (ranges // texts), True, d, o, v, None, None) for r, d, o, v in _hits(doc[met], own[met], symbol[met], texts)]
         # Documents tied in one identifier all stand for it.
         stand = ~met
         stand[first] = True
@@ -181,12 +181,12 @@ def _columns(rows: list[tuple], kinds: dict[int, str]) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in kinds.items()]
 
 
-def _shared(ranges: int):
+def _shared(ranges: int, texts: int):
     """Symbols that several documents have, as hits of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches):
-            out = [(r[0], *r[2:5]) for r in rows if r[1]]
+            out = [(r[0] // (ranges // texts), *r[2:5]) for r in rows if r[1]]
             if held := [r for r in rows if not r[1]]:
                 doc, own, symbol = _columns(held, {2: "<i8", 3: "<i8", 4: "<u8"})
                 order = np.lexsort((own, doc, symbol))
@@ -194,7 +194,7 @@ def _shared(ranges: int):
                 first = _group_starts(symbol)
                 size = np.diff(np.append(first, len(symbol)))
                 met = np.repeat(doc[first] != doc[first + size - 1], size)
-                out += _hits(doc[met], own[met], symbol[met], ranges)
+                out += _hits(doc[met], own[met], symbol[met], texts)
             yield _rows(out, _HITS, _HIT_KINDS)
 
     return run
@@ -223,7 +223,7 @@ def _covered(name, second, doc, own, at, *more) -> tuple[np.ndarray, list[np.nda
     return columns[2] > least, columns
 
 
-def _windows_out(ranges: int):
+def _windows_out(ranges: int, texts: int):
     """Windows with shared symbols to ranges of these, combined; places that are covered here already are hits.
 
     Neighbouring windows mostly have one symbol, so they go together.
@@ -231,7 +231,7 @@ def _windows_out(ranges: int):
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         hit, (name, second, doc, own, at, part) = _covered(*(np.concatenate([h[k] for h in held]) for k in range(6)))
-        out = [(r, True, d, o, v, None, None) for r, d, o, v in _hits(doc[hit], own[hit], at[hit], ranges)]
+        out = [(r * (ranges // texts), True, d, o, v, None, None) for r, d, o, v in _hits(doc[hit], own[hit], at[hit], texts)]
         order = np.flatnonzero(~hit)
         order = order[np.argsort(part[order], kind="stable")]
         columns = (doc[order], own[order], at[order].astype("<u8"), name[order], second[order])
@@ -262,16 +262,16 @@ def _windows_out(ranges: int):
     return run
 
 
-def _repeats(ranges: int):
+def _repeats(ranges: int, texts: int):
     """Places of windows that a smaller document has, as hits of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches):
-            out = [(r[0], *r[2:5]) for r in rows if r[1]]
+            out = [(r[0] // (ranges // texts), *r[2:5]) for r in rows if r[1]]
             if held := [r for r in rows if not r[1]]:
                 doc, own, at, name, second = _columns(held, {2: "<i8", 3: "<i8", 4: "<u8", 5: "<u8", 6: "<u8"})
                 hit, (_, _, doc, own, at) = _covered(name, second, doc, own, at)
-                out += _hits(doc[hit], own[hit], at[hit], ranges)
+                out += _hits(doc[hit], own[hit], at[hit], texts)
             yield _rows(out, _HITS, _HIT_KINDS)
 
     return run
@@ -315,13 +315,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, text_hash, n_removed, kept of the texts that lose words."""
     rows = _keyed(docs, id_col, text_col)
     words = (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // 6
-    ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // 4 // RANGE + 1)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(16, 2 * partitions, words // 4 // RANGE + 1)
+    texts = max(8, partitions // 2)  # ranges of texts; hits are few bytes each, so fewer and fuller blocks will do
     by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
-    met = by_part(rows.mapInArrow(_symbols_out(ranges), _OUT)).mapInArrow(_shared(ranges), _HITS)
+    met = by_part(rows.mapInArrow(_symbols_out(ranges, texts), _OUT)).mapInArrow(_shared(ranges, texts), _HITS)
     shared = by_part(met).mapInArrow(_gather, "doc_id long, text_hash long, hits binary")
     found = rows.join(shared, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     found = table(found.select("doc_id", "text_hash", "hits", "text"), compression="zstd")
-    met = by_part(found.mapInArrow(_windows_out(ranges), _OUT)).mapInArrow(_repeats(ranges), _HITS)
+    met = by_part(found.mapInArrow(_windows_out(ranges, texts), _OUT)).mapInArrow(_repeats(ranges, texts), _HITS)
     hits = by_part(met).mapInArrow(_gather, "doc_id long, text_hash long, hits binary")
     covered = found.select("doc_id", "text_hash", "text").join(hits, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "hits", "text")
     return covered.mapInArrow(_without, "doc_id long, text_hash long, n_removed long, kept string")
