@@ -4,13 +4,14 @@ Base spans are the leftmost matches of four patterns.  The patterns used here ma
 ones below, but neither recurse nor start again inside a run, so that one long text takes linear time.
 
 Sanitisation: the terms on an entity's line, up to its neighbours, may give the entity away.  Over the whole
-corpus, with document frequencies over N documents, for entity e and term t
+corpus, with frequencies over its N different texts, for entity e and term t
 
-    PMI(t, e) = log2(N * df(t, e) / (df(t) * df(e))),    IC(e) = log2(N / df(e))
+    PMI(t, e) = log2(N * df(t, e) / ((df(t) + UNSEEN) * df(e))),    IC(e) = log2(N / df(e))
 
 and a term discloses the share PMI / IC of the entity's information.  Terms that reach GENERALISE are generalised,
-and from REMOVE on removed.  A term must go along with the entity in MIN_TEXTS different texts, so that copies of
-one text prove nothing; df counts documents, df(t, e) those of them where t stands on e's line.
+and from REMOVE on removed.  df counts different texts, so copies of one text prove nothing; df(t, e) counts those
+where t stands on e's line.  Pairs of a single text are scored like all others: each term is taken to be in UNSEEN
+more texts without the entity, so one text proves less where the corpus is small.
 
 Defined cases: a null text is empty; texts without spans give zeros and the digest of the empty list; repeated rows
 each have their own spans; an empty table gives an empty result.
@@ -31,7 +32,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "generalise", "remove"]
-GENERALISE, REMOVE, MIN_TEXTS = 0.5, 0.8, 2
+GENERALISE, REMOVE, UNSEEN = 0.5, 0.8, 1
 TERM = r"\p{L}{3,}"
 #: Stands for a separator inside a card number or a dot inside a host name; in the text itself it becomes OTHER,
 #: which no pattern takes either.
@@ -82,7 +83,7 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _mentions(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows (doc_id, row), and their base spans with contexts."""
+    """All rows (doc_id, row, text_hash), and their base spans with contexts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     cuts = {kind: _cut(t, pattern, may) for kind, (may, t, pattern) in _sought(F.col("text")).items()}
@@ -96,7 +97,7 @@ def _mentions(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     w = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("value")).over(w)
     found = found.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-    return read.select("doc_id", "row"), found.where(_valid(F.col("kind"), F.col("value"))).drop("gap", "pos")
+    return read.select("doc_id", "row", "text_hash"), found.where(_valid(F.col("kind"), F.col("value"))).drop("gap", "pos")
 
 
 def _terms(context: Column) -> Column:
@@ -116,24 +117,20 @@ def _placed_terms(mentions: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, n_docs: int, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, n_texts: int, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, unseen: int = UNSEEN) -> DataFrame:
     """(kind, value, term, action, share) for the terms that reach the threshold, over all of ``docs``."""
     words = F.array_distinct(F.concat(_terms(F.lower("left")), _terms(F.lower("right"))))
-    pairs = mentions.select("kind", "value", "row", "text_hash", F.explode(words).alias("term"))
-    pairs = pairs.groupBy("kind", "value", "term", "text_hash").agg(F.countDistinct("row").alias("n"))
-    pairs = pairs.groupBy("kind", "value", "term").agg(F.sum("n").alias("df_te"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    pairs = table(pairs.drop("texts"))
+    pairs = mentions.select("kind", "value", "text_hash", F.explode(words).alias("term")).distinct()
+    pairs = table(pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("df_te")))
     terms = table(pairs.select("term").distinct())
     n_terms = terms.count()
-    entities = mentions.groupBy("kind", "value").agg(F.countDistinct("row").alias("df_e"))
-    if n_terms:
-        seen = docs.select(F.explode(F.array_distinct(_terms(F.lower(F.col(text_col))))).alias("term"))
-        counts = seen.join(small(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    else:
-        counts = terms.withColumn("df_t", F.lit(0).cast("long"))
-    scored = pairs.join(entities, ["kind", "value"]).join(counts, "term")
-    pmi = F.log2(F.lit(float(n_docs)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
-    ic = F.log2(F.lit(float(n_docs)) / F.col("df_e"))
+    entities = mentions.select("kind", "value", "text_hash").distinct().groupBy("kind", "value").agg(F.count("*").alias("df_e"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    seen = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.array_distinct(_terms(F.lower(text)))).alias("term"))
+    counts = seen.join(small(terms, n_terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_t"))
+    scored = pairs.join(entities, ["kind", "value"]).join(small(counts, n_terms), "term")
+    pmi = F.log2(F.lit(float(n_texts)) * F.col("df_te") / ((F.col("df_t") + unseen) * F.col("df_e")))
+    ic = F.log2(F.lit(float(n_texts)) / F.col("df_e"))
     scored = scored.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise)
     return scored.select("kind", "value", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"), "share")
 
@@ -142,7 +139,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     """All rows, and all spans: row, kind, start, end."""
     everything, mentions = _mentions(docs, id_col, text_col)
     mentions = table(mentions)
-    terms = disclosing_terms(docs, mentions, everything.count(), text_col)
+    terms = disclosing_terms(docs, mentions, everything.select("text_hash").distinct().count(), text_col)
     placed = _placed_terms(mentions).join(terms, ["kind", "value", "term"])
     # A word may stand beside several entities; the stricter action holds.
     placed = placed.groupBy("row", "start", "end").agg(F.max("action").alias("kind"))
@@ -170,7 +167,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     everything, spans = _spans(rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     label = F.when(F.col("kind") == "remove", "").when(F.col("kind") == "generalise", "[TERM]").otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
     found = fresh(rows, "_spans")
-    of_row = spans.join(everything.withColumnRenamed("doc_id", row), "row").groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", label.alias("label")))).alias(found))
+    of_row = spans.join(everything.select("row", F.col("doc_id").alias(row)), "row").groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", label.alias("label")))).alias(found))
     text = F.col(text_col)
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), s["label"]).alias("out"), s["end"].alias("at")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))

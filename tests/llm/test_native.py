@@ -208,6 +208,20 @@ def test_copies_prove_nothing(spark):
     assert all("remove" not in r.spans and "generalise" not in r.spans for r in pii.find_personal_data(df).collect())
 
 
+def test_terms_of_single_texts(spark):
+    code = lambda i: f"falcon{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    texts = [f"report by clerk {code(i)} for a{i}@b.co today" for i in range(64)]
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    copied = spark.createDataFrame([(i, t) for i, t in enumerate(texts) for _ in range(1 + 9 * (i < 5))], "doc_id long, text string")
+    for df in (once, copied):
+        out = pii.find_personal_data(df).collect()
+        assert len(out) == df.count()
+        for r in out:
+            t, entity = texts[r.doc_id], f"a{r.doc_id}@b.co"
+            word, mail = t.index(code(r.doc_id)), t.index(entity)
+            assert r.spans == f"remove:{word}:{word + 8},email:{mail}:{mail + len(entity)}"
+
+
 def test_pii_odd(odd, empty):
     assert pii.find_personal_data(odd).count() == odd.count()
     assert pii.find_personal_data(empty).count() == 0
