@@ -5,10 +5,9 @@ lengths, which has as many entries as the capacity at most:
 
 * Configurations (multisets of lengths that fit) are variables of the covering LP "fewest sequences that hold all
   pieces".  Multiplicative weights solve it: weights of lengths price pieces, a knapsack dynamic program finds the
-  best configuration at these prices, and the weights of what it covers shrink.  Prices and knapsack of many lengths
-  work on lengths rounded up to UNIT tokens.
-* Rounding: configurations are used as often as their whole parts say and pieces last.  They take exact lengths,
-  longest first, and what remains goes, longest first, where it fits best.
+  best configuration at these prices, and the weights of what it covers shrink.  Lengths are exact at any input size.
+* Rounding: configurations are used as often as their whole parts say and pieces last.  What remains goes, longest
+  first, where it fits best.
 
 The plan is a table of (length, first rank, copies, sequence, offset).  Executors number the pieces of a length
 with two-level counts, a length that holds a third of all pieces included, and look their place up.
@@ -32,8 +31,6 @@ from .common import small, table
 from .tokens import encoder, slices, texts_of, tokenizer_path
 
 CAPACITY = 4096
-#: Tokens in a unit of the knapsack where there are more than EXACT_LENGTHS lengths.
-UNIT, EXACT_LENGTHS = 8, 64
 ROUNDS = 600
 RATE = 0.5
 
@@ -41,7 +38,12 @@ Recipe = tuple[tuple[int, int], ...]
 
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of the most value: index of a size -> copies.  Sizes ascend."""
+    """The multiset of the most value: index of a size -> copies.  Sizes ascend.
+
+    A size at no higher price than a smaller one can always give way to it, so the program leaves it out.
+    """
+    kept = np.flatnonzero(prices > np.concatenate([[0.0], np.maximum.accumulate(prices)[:-1]]))
+    sizes, prices = sizes[kept], prices[kept]
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fit = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -57,7 +59,7 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int,
         if (j := int(last[c])) < 0:
             c -= 1
         else:
-            out[j] = out.get(j, 0) + 1
+            out[int(kept[j])] = out.get(int(kept[j]), 0) + 1
             c -= int(sizes[j])
     return out
 
@@ -115,53 +117,23 @@ class _Bins:
         return [r for groups in self.room for r in groups]
 
 
-def _exact(config: tuple, classes: np.ndarray, left: np.ndarray, times: int, unit: int) -> dict[int, int] | None:
-    """Exact lengths, longest first, that ``times`` sequences of the configuration can all have; one always can."""
-    taken: dict[int, int] = {}
-    for j, need in sorted(config, reverse=True):
-        top = int(classes[j]) * unit
-        for size in range(min(top, len(left) - 1), top - unit, -1):
-            if copies := min(need, int(left[size]) // times):
-                taken[size], need = copies, need - copies
-        if need:
-            return None
-    return taken
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Recipe, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Recipe, int]]:
     """Recipes and how many sequences follow each; together they hold the histogram exactly.
 
-    Few lengths are priced exactly, many in units.  Of two roundings, the program's whole parts with best fit for
-    the rest, and best fit for all, the one with fewer sequences is kept.
+    The program's whole parts come first, and best fit places the pieces that they leave.
     """
-    lengths = sum(n > 0 for n in histogram.values())
-    rounded = _rounded(histogram, capacity, UNIT if lengths > EXACT_LENGTHS else 1, min(ROUNDS, 8 * lengths))
-    return min(rounded, _rounded(histogram, capacity, UNIT, 0), key=lambda recipes: sum(n for _, n in recipes))
-
-
-def _rounded(histogram: dict[int, int], capacity: int, unit: int, rounds: int) -> list[tuple[Recipe, int]]:
     left = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         left[size] = n
-    classes = -(-np.arange(capacity + 1) // unit)
-    counts = np.bincount(classes, weights=left).astype(np.int64)
-    sizes = np.flatnonzero(counts)
+    sizes = np.flatnonzero(left)
     bins = _Bins(capacity)
-    room = capacity // unit
-    inner = sizes[sizes <= room]
-    if len(inner) and rounds:
-        for config, x in sorted(configuration_lp(inner, counts[inner].astype(float), room, rounds).items(), key=lambda c: (-c[1], c[0])):
-            times = min(int(x), *(int(counts[inner[j]]) // k for j, k in config))
-            while times > 0:
-                most = times  # fewer at once where a class runs out of one exact length
-                while (taken := _exact(config, inner, left, most, unit)) is None:
-                    most //= 2
-                bins.put(tuple(taken.items()), most)
-                for size, copies in taken.items():
-                    left[size] -= copies * most
+    if len(sizes):
+        for config, x in sorted(configuration_lp(sizes, left[sizes].astype(float), capacity, rounds).items(), key=lambda c: (-c[1], c[0])):
+            times = min(int(x), *(int(left[sizes[j]]) // k for j, k in config))
+            if times:
+                bins.put(tuple((int(sizes[j]), k) for j, k in reversed(config)), times)
                 for j, k in config:
-                    counts[inner[j]] -= k * most
-                times -= most
+                    left[sizes[j]] -= k * times
     for size in np.flatnonzero(left)[::-1].tolist():
         bins.add(size, int(left[size]))
     return bins.recipes()

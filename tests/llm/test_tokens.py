@@ -135,6 +135,19 @@ def test_lengths_that_units_round_up():
     assert check_plan({1365: 300})[0] == 100 and check_plan({17: 18}, 64)[0] == 6
 
 
+def test_many_lengths_are_priced_exactly(monkeypatch):
+    asked = []
+
+    def program(sizes, counts, capacity, *args):
+        asked.append((sizes.tolist(), counts.tolist(), capacity))
+        return {((0, 1), (69, 1)): 2.0}
+
+    monkeypatch.setattr(packing, "configuration_lp", program)
+    recipes = packing.plan({n: 3 for n in range(1, 71)})
+    assert asked == [([*range(1, 71)], [3.0] * 70, 4096)]
+    assert any(r[:2] == ((70, 1), (1, 1)) for r, _ in recipes)
+
+
 def test_knapsack_is_best():
     sizes, prices = np.array([2, 3, 5]), np.array([3.0, 5.0, 8.0])
     assert sum(prices[j] * k for j, k in packing.knapsack(sizes, prices, 11).items()) == 18
