@@ -28,11 +28,24 @@ def scratch(spark: SparkSession) -> str:
     return made[-1]
 
 
+#: Spark's own clean-up of a statement's shuffle files when the statement ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
-    """Write ``df`` once and read it back: later stages and lost executors start from the files."""
-    path = path or scratch(df.sparkSession)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once and read it back: later stages and lost executors start from the files.
+
+    Nothing reads the write's shuffles again, so Spark removes their files as soon as it has ended.
+    """
+    spark = df.sparkSession
+    path = path or scratch(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
