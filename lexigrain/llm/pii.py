@@ -3,15 +3,16 @@
 Base spans are the leftmost matches of four patterns.  The patterns used here match the same spans as the plain
 ones below, but neither recurse nor start again inside a run, so that one long text takes linear time.
 
-Sanitisation: the terms on an entity's line, up to its neighbours, may give the entity away.  Over the whole
-corpus, with frequencies over its N different texts, for entity e and term t
+Sanitisation: the terms around an entity, up to CONTEXT characters on either side and across lines, may give the
+entity away.  Over all N documents, with frequencies that count documents, for entity e and term t
 
     PMI(t, e) = log2(N * df(t, e) / ((df(t) + UNSEEN) * df(e))),    IC(e) = log2(N / df(e))
 
 and a term discloses the share PMI / IC of the entity's information.  Terms that reach GENERALISE are generalised,
-and from REMOVE on removed.  df counts different texts, so copies of one text prove nothing; df(t, e) counts those
-where t stands on e's line.  Pairs of a single text are scored like all others: each term is taken to be in UNSEEN
-more texts without the entity, so one text proves less where the corpus is small.
+and from REMOVE on removed, wherever they stand in a document in which they are beside the entity.  df(t, e) counts
+the documents where t stands around e.  Pairs of a single document are scored like all others: each term is taken to
+be in UNSEEN more documents without the entity, so one document proves less where the corpus is small.  Copies count
+as documents, which lowers PMI and IC alike.
 
 Defined cases: a null text is empty; texts without spans give zeros and the digest of the empty list; repeated rows
 each have their own spans; an empty table gives an empty result.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, numbered, small, table
+from .common import BROADCAST_ROWS, fresh, numbered, small, table
 
 #: The kinds and their plain patterns, in the order in which they are reported.
 PATTERNS = {
@@ -33,6 +34,8 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "generalise", "remove"]
 GENERALISE, REMOVE, UNSEEN = 0.5, 0.8, 1
+#: Characters before and after an entity, up to the next one of its kind, whose terms are held against it.
+CONTEXT = 500
 TERM = r"\p{L}{3,}"
 #: Stands for a separator inside a card number or a dot inside a host name; in the text itself it becomes OTHER,
 #: which no pattern takes either.
@@ -55,10 +58,12 @@ def _sought(text: Column) -> dict[str, tuple[Column, Column, str]]:
 
 
 def _cut(text: Column, pattern: str, may: Column) -> Column:
-    """Matches with the gap before each and the words of the line around it, by one pass of the same matcher."""
+    """Matches with the gap before each and the text around it, by one pass of the same matcher; words that the context cuts are left out."""
     gaps = F.split(text, pattern, -1)
     zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), gaps.alias("gap"), F.slice(gaps, 2, 1 << 30).alias("after"))
-    found = F.transform(zipped, lambda x, i: F.struct(i.alias("pos"), F.length(x["gap"]).alias("gap"), x["value"].alias("value"), F.substring_index(x["gap"], "\n", -1).alias("left"), F.substring_index(x["after"], "\n", 1).alias("right")))
+    before = lambda gap: F.when(F.length(gap) > CONTEXT, F.regexp_replace(F.right(gap, F.lit(CONTEXT)), r"^\p{L}+", "")).otherwise(gap)
+    after = lambda gap: F.when(F.length(gap) > CONTEXT, F.regexp_replace(F.left(gap, F.lit(CONTEXT)), r"\p{L}+$", "")).otherwise(gap)
+    found = F.transform(zipped, lambda x, i: F.struct(i.alias("pos"), F.length(x["gap"]).alias("gap"), x["value"].alias("value"), before(x["gap"]).alias("left"), after(x["after"]).alias("right")))
     found = F.filter(found, lambda x: x["value"].isNotNull())
     return F.when(may, found)
 
@@ -83,67 +88,73 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _mentions(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows (doc_id, row, text_hash), and their base spans with contexts."""
+    """All rows (doc_id, row, and the text where it may have spans), and their base spans with contexts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     cuts = {kind: _cut(t, pattern, may) for kind, (may, t, pattern) in _sought(F.col("text")).items()}
     none = [F.coalesce(F.size(F.col(k)), F.lit(0)) == 0 for k in cuts]
     clean = none[0] & none[1] & none[2] & none[3]
-    read = table(base.select("doc_id", "row", F.xxhash64("text").alias("text_hash"), *(c.alias(k) for k, c in cuts.items())))
+    read = base.select("doc_id", "row", "text", *(c.alias(k) for k, c in cuts.items()))
+    read = table(read.withColumn("text", F.when(~clean, F.col("text"))), compression="zstd")
     tag = lambda kind: F.transform(F.col(kind), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("m")))
     nothing = F.array().cast("array<struct<kind:string,m:struct<pos:int,gap:int,value:string,left:string,right:string>>>")
-    found = read.where(~clean).select("doc_id", "row", "text_hash", F.explode(F.concat(*(F.coalesce(tag(k), nothing) for k in cuts))).alias("f"))
-    found = found.select("doc_id", "row", "text_hash", "f.kind", "f.m.*")
+    found = read.where("text IS NOT NULL").select("row", F.explode(F.concat(*(F.coalesce(tag(k), nothing) for k in cuts))).alias("f"))
+    found = found.select("row", "f.kind", "f.m.*")
     w = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("value")).over(w)
     found = found.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-    return read.select("doc_id", "row", "text_hash"), found.where(_valid(F.col("kind"), F.col("value"))).drop("gap", "pos")
+    return read.select("doc_id", "row", "text"), found.where(_valid(F.col("kind"), F.col("value"))).drop("gap", "pos")
 
 
 def _terms(context: Column) -> Column:
     return F.regexp_extract_all(context, F.lit(TERM), F.lit(0))
 
 
-def _placed_terms(mentions: DataFrame) -> DataFrame:
-    """Each occurrence of a term beside an entity: row, kind, value, term (lower case), start, end."""
-    sides = []
-    for side, base in (("left", F.col("start") - F.length("left")), ("right", F.col("end"))):
-        gaps = F.arrays_zip(_terms(F.col(side)).alias("word"), F.split(F.col(side), TERM, -1).alias("gap"))
-        rows = mentions.select("row", "kind", "value", "start", F.lit(side).alias("side"), base.alias("base"), F.posexplode(gaps).alias("pos", "g"))
-        w = Window.partitionBy("row", "kind", "start", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        at = F.col("base") + F.sum(F.length("g.gap") + F.coalesce(F.length("g.word"), F.lit(0))).over(w)
-        rows = rows.withColumn("end", at).where(F.col("g.word").isNotNull())
-        sides.append(rows.select("row", "kind", "value", F.lower("g.word").alias("term"), (F.col("end") - F.length("g.word")).alias("start"), "end"))
-    return sides[0].unionByName(sides[1])
+def term_pairs(mentions: DataFrame) -> DataFrame:
+    """(row, kind, value, term), once each: the terms around the entities of a document."""
+    words = F.array_distinct(F.concat(_terms(F.lower("left")), _terms(F.lower("right"))))
+    return mentions.select("row", "kind", "value", F.explode(words).alias("term")).distinct()
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, n_texts: int, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, unseen: int = UNSEEN) -> DataFrame:
-    """(kind, value, term, action, share) for the terms that reach the threshold, over all of ``docs``."""
-    words = F.array_distinct(F.concat(_terms(F.lower("left")), _terms(F.lower("right"))))
-    pairs = mentions.select("kind", "value", "text_hash", F.explode(words).alias("term")).distinct()
-    pairs = table(pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("df_te")))
-    terms = table(pairs.select("term").distinct())
+def disclosing_terms(docs: DataFrame, pairs: DataFrame, n_docs: int, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, unseen: int = UNSEEN) -> DataFrame:
+    """(kind, value, term, action, share) for the terms that reach the threshold, over all of ``docs``.
+
+    Terms of all documents are counted before they are shuffled, so a task sends each of its terms once.
+    """
+    together = table(pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("df_te")))
+    terms = table(together.select("term").distinct())
     n_terms = terms.count()
-    entities = mentions.select("kind", "value", "text_hash").distinct().groupBy("kind", "value").agg(F.count("*").alias("df_e"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    seen = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.array_distinct(_terms(F.lower(text)))).alias("term"))
-    counts = seen.join(small(terms, n_terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_t"))
-    scored = pairs.join(entities, ["kind", "value"]).join(small(counts, n_terms), "term")
-    pmi = F.log2(F.lit(float(n_texts)) * F.col("df_te") / ((F.col("df_t") + unseen) * F.col("df_e")))
-    ic = F.log2(F.lit(float(n_texts)) / F.col("df_e"))
+    seen = docs.select(F.explode(F.array_distinct(_terms(F.lower(F.coalesce(F.col(text_col), F.lit("")))))).alias("term"))
+    if n_terms <= BROADCAST_ROWS:
+        seen = seen.join(F.broadcast(terms), "term", "left_semi")
+    counts = table(seen.groupBy("term").agg(F.count("*").alias("df_t")).join(small(terms, n_terms), "term", "left_semi"))
+    entities = pairs.select("row", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("df_e"))
+    scored = together.join(table(entities), ["kind", "value"]).join(small(counts, n_terms), "term")
+    pmi = F.log2(F.lit(float(n_docs)) * F.col("df_te") / ((F.col("df_t") + unseen) * F.col("df_e")))
+    ic = F.log2(F.lit(float(n_docs)) / F.col("df_e"))
     scored = scored.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise)
     return scored.select("kind", "value", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"), "share")
 
 
+def _occurrences(texts: DataFrame) -> DataFrame:
+    """Every term of (row, text): row, term (lower case), start, end."""
+    gaps = F.arrays_zip(_terms(F.col("text")).alias("word"), F.split("text", TERM, -1).alias("gap"))
+    rows = texts.select("row", F.posexplode(gaps).alias("pos", "g")).select("row", "pos", F.col("g.word").alias("word"), F.length("g.gap").alias("gap"))
+    w = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.where("word IS NOT NULL").withColumn("end", F.sum(F.col("gap") + F.length("word")).over(w))
+    return rows.select("row", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
+
+
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """All rows, and all spans: row, kind, start, end."""
     everything, mentions = _mentions(docs, id_col, text_col)
-    mentions = table(mentions)
-    terms = disclosing_terms(docs, mentions, everything.select("text_hash").distinct().count(), text_col)
-    placed = _placed_terms(mentions).join(terms, ["kind", "value", "term"])
-    # A word may stand beside several entities; the stricter action holds.
-    placed = placed.groupBy("row", "start", "end").agg(F.max("action").alias("kind"))
-    return everything, mentions.select("row", "kind", "start", "end").unionByName(placed.select("row", "kind", "start", "end"))
+    mentions = table(mentions, compression="zstd")
+    pairs = table(term_pairs(mentions))
+    terms = table(disclosing_terms(docs, pairs, everything.count(), text_col))
+    # A term may stand beside several entities; the stricter action holds.
+    judged = pairs.join(small(terms, terms.count()), ["kind", "value", "term"]).groupBy("row", "term").agg(F.max("action").alias("kind"))
+    placed = _occurrences(everything.where("text IS NOT NULL")).join(table(judged), ["row", "term"])
+    return everything.select("doc_id", "row"), mentions.select("row", "kind", "start", "end").unionByName(placed.select("row", "kind", "start", "end"))
 
 
 def _order(kind: Column) -> Column:
@@ -161,17 +172,26 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.select("doc_id", *(F.coalesce(F.col(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in PATTERNS), F.sha2(base, 256).alias("base_sha256"), text(F.col("all")).alias("spans"))
 
 
+def _class(word: Column) -> Column:
+    """What a generalised term is shown as: the class of its shape."""
+    return F.when(word == F.upper(word), "[ACRONYM]").when(F.left(word, F.lit(1)) != F.lower(F.left(word, F.lit(1))), "[NAME]").otherwise("[WORD]")
+
+
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with spans replaced: base kinds by their name in brackets, general terms by [TERM], others left out."""
+    """``docs`` with spans replaced: base kinds by their name in brackets, general terms by the class of their shape
+    (acronym, name or word), others left out.  Of spans that overlap, the union goes and the first one names it.
+    """
     rows, row = numbered(docs)
     everything, spans = _spans(rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    label = F.when(F.col("kind") == "remove", "").when(F.col("kind") == "generalise", "[TERM]").otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
     found = fresh(rows, "_spans")
-    of_row = spans.join(everything.select("row", F.col("doc_id").alias(row)), "row").groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", label.alias("label")))).alias(found))
+    of_row = spans.join(everything.select("row", F.col("doc_id").alias(row)), "row").groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("last"), "kind"))).alias(found))
     text = F.col(text_col)
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), s["label"]).alias("out"), s["end"].alias("at")))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    done = F.aggregate(found, start, step, lambda a: F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))))
+    part = lambda a, b: text.substr((a + 1).cast("int"), (b - a).cast("int"))
+    label = lambda s: F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", _class(part(s["start"], -s["last"]))).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    # Pieces are gathered in a list and joined once.
+    step = lambda a, s: F.struct(F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(part(a["at"], s["start"]), label(s)))).alias("out"), F.greatest(a["at"], -s["last"]).alias("at"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    done = F.aggregate(found, start, step, lambda a: F.concat(F.array_join(a["out"], ""), text.substr((a["at"] + 1).cast("int"), F.length(text))))
     return rows.join(of_row, row, "left").withColumn(text_col, F.coalesce(done, text)).select(*docs.columns)
 
 
