@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, numbered, small, table
+from .common import fresh, numbered, table
 
 #: The kinds and their plain patterns, in the order in which they are reported.
 PATTERNS = {
@@ -119,17 +119,15 @@ def term_pairs(mentions: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, pairs: DataFrame, n_docs: int, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, unseen: int = UNSEEN) -> DataFrame:
     """(kind, value, term, action, share) for the terms that reach the threshold, over all of ``docs``.
 
-    Terms of all documents are counted before they are shuffled, so a task sends each of its terms once.
+    Terms of all documents are counted before they are shuffled, so a task sends each of its terms once.  Joins are of
+    written tables, which Spark broadcasts where their files are small.
     """
     together = table(pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("df_te")))
     terms = table(together.select("term").distinct())
-    n_terms = terms.count()
     seen = docs.select(F.explode(F.array_distinct(_terms(F.lower(F.coalesce(F.col(text_col), F.lit("")))))).alias("term"))
-    if n_terms <= BROADCAST_ROWS:
-        seen = seen.join(F.broadcast(terms), "term", "left_semi")
-    counts = table(seen.groupBy("term").agg(F.count("*").alias("df_t")).join(small(terms, n_terms), "term", "left_semi"))
+    counts = table(seen.groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term", "left_semi"))
     entities = pairs.select("row", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("df_e"))
-    scored = together.join(table(entities), ["kind", "value"]).join(small(counts, n_terms), "term")
+    scored = together.join(table(entities), ["kind", "value"]).join(counts, "term")
     pmi = F.log2(F.lit(float(n_docs)) * F.col("df_te") / ((F.col("df_t") + unseen) * F.col("df_e")))
     ic = F.log2(F.lit(float(n_docs)) / F.col("df_e"))
     scored = scored.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise)
@@ -152,7 +150,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     pairs = table(term_pairs(mentions))
     terms = table(disclosing_terms(docs, pairs, everything.count(), text_col))
     # A term may stand beside several entities; the stricter action holds.
-    judged = pairs.join(small(terms, terms.count()), ["kind", "value", "term"]).groupBy("row", "term").agg(F.max("action").alias("kind"))
+    judged = pairs.join(terms, ["kind", "value", "term"]).groupBy("row", "term").agg(F.max("action").alias("kind"))
     placed = _occurrences(everything.where("text IS NOT NULL")).join(table(judged), ["row", "term"])
     return everything.select("doc_id", "row"), mentions.select("row", "kind", "start", "end").unionByName(placed.select("row", "kind", "start", "end"))
 
