@@ -6,8 +6,8 @@ lengths, which has as many entries as the capacity at most:
 * Configurations (multisets of lengths that fit) are variables of the covering LP "fewest sequences that hold all
   pieces".  Multiplicative weights solve it: weights of lengths price pieces, a knapsack dynamic program finds the
   best configuration at these prices, and the weights of what it covers shrink.  Lengths are exact at any input size.
-* Rounding: configurations are used as often as their whole parts say and pieces last.  What remains goes, longest
-  first, where it fits best.
+* Rounding: configurations are used as often as their whole parts say and pieces last.  What remains is filled up
+  by the same kind of dynamic program: the longest piece left, and the pieces that fill its sequence best.
 
 The plan is a table of (length, first rank, copies, sequence, offset).  Executors number the pieces of a length
 with two-level counts, a length that holds a third of all pieces included, and look their place up.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,62 +82,76 @@ def configuration_lp(sizes: np.ndarray, counts: np.ndarray, capacity: int, round
     return {k: x / scale for k, x in chosen.items()}
 
 
-class _Bins:
-    """Groups of equal sequences by free room; pieces go where they fit best."""
-
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.room = capacity, [[] for _ in range(capacity + 1)]
-        self.used = np.zeros(capacity + 1, bool)
-
-    def put(self, recipe: Recipe, bins: int) -> None:
-        free = self.capacity - sum(size * k for size, k in recipe)
-        self.room[free].append((recipe, bins))
-        self.used[free] = True
-
-    def add(self, size: int, n: int) -> None:
-        while n:
-            fits = np.flatnonzero(self.used[size:])
-            if not len(fits):
-                each = self.capacity // size
-                if n >= each:
-                    self.put(((size, each),), n // each)
-                if n % each:
-                    self.put(((size, n % each),), 1)
-                return
-            free = size + int(fits[0])
-            recipe, bins = self.room[free].pop()
-            self.used[free] = bool(self.room[free])
-            each = min(free // size, n)
-            full = min(bins, n // each)
-            self.put((*recipe, (size, each)), full)
-            if full < bins:
-                self.put(recipe, bins - full)
-            n -= full * each
-
-    def recipes(self) -> list[tuple[Recipe, int]]:
-        return [r for groups in self.room for r in groups]
+def best_fill(left: np.ndarray, room: int) -> list[tuple[int, int]]:
+    """The pieces, of ``left[size]`` each, that fill ``room`` best; of equal fills one of long pieces."""
+    reach, steps = 1, []
+    mask = (1 << room + 1) - 1
+    for size in np.flatnonzero(left[1 : room + 1])[::-1].tolist():
+        size += 1
+        steps.append((size, most := min(int(left[size]), room // size), reach))
+        take = 1
+        while most:
+            take = min(take, most)
+            reach |= reach << size * take & mask
+            most -= take
+            take *= 2
+        if reach >> room:
+            break
+    out, at = [], reach.bit_length() - 1
+    for size, _, before in reversed(steps):
+        k = 0
+        while not before >> at - k * size & 1:
+            k += 1
+        if k:
+            out.append((size, k))
+            at -= k * size
+    return out[::-1]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Recipe, int]]:
     """Recipes and how many sequences follow each; together they hold the histogram exactly.
 
-    The program's whole parts come first, and best fit places the pieces that they leave.
+    The program's whole parts come first; the pieces that they leave are filled up one kind of sequence at a time.
     """
     left = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         left[size] = n
+    out: list[tuple[Recipe, int]] = []
+
+    def take(recipe: Recipe, times: int) -> None:
+        for size, k in recipe:
+            left[size] -= k * times
+
+    def complete(recipe: Recipe, times: int) -> None:
+        """Sequences that hold ``recipe``, whose pieces are taken, filled up with what is left."""
+        while times:
+            more = best_fill(left, capacity - sum(size * k for size, k in recipe))
+            n = min([times, *(int(left[size]) // k for size, k in more)])
+            take(more, n)
+            out.append((tuple(sorted((Counter(dict(recipe)) + Counter(dict(more))).items(), reverse=True)), n))
+            times -= n
+
     sizes = np.flatnonzero(left)
-    bins = _Bins(capacity)
+    whole: list[tuple[Recipe, int]] = []
     if len(sizes):
-        for config, x in sorted(configuration_lp(sizes, left[sizes].astype(float), capacity, rounds).items(), key=lambda c: (-c[1], c[0])):
-            times = min(int(x), *(int(left[sizes[j]]) // k for j, k in config))
-            if times:
-                bins.put(tuple((int(sizes[j]), k) for j, k in reversed(config)), times)
-                for j, k in config:
-                    left[sizes[j]] -= k * times
-    for size in np.flatnonzero(left)[::-1].tolist():
-        bins.add(size, int(left[size]))
-    return bins.recipes()
+        program = configuration_lp(sizes, left[sizes].astype(float), capacity, rounds)
+        for config, x in sorted(program.items(), key=lambda c: (-c[1], c[0])):
+            recipe = tuple((int(sizes[j]), k) for j, k in reversed(config))
+            if times := min(int(x), *(int(left[size]) // k for size, k in recipe)):
+                take(recipe, times)
+                whole.append((recipe, times))
+    for recipe, times in whole:
+        complete(recipe, times)
+    while len(sizes := np.flatnonzero(left)):
+        longest = ((int(sizes[-1]), 1),)
+        take(longest, 1)
+        more = best_fill(left, capacity - longest[0][0])
+        take(longest, -1)
+        recipe = tuple(sorted((Counter(dict(longest)) + Counter(dict(more))).items(), reverse=True))
+        n = min(int(left[size]) // k for size, k in recipe)
+        take(recipe, n)
+        out.append((recipe, n))
+    return out
 
 
 def places(recipes: list[tuple[Recipe, int]]) -> dict[str, np.ndarray]:

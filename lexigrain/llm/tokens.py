@@ -3,7 +3,8 @@
 A byte-level or word-level BPE never joins characters over the borders at which texts are cut here, so the ids of
 a text are the ids of its chunks, one after the other.  Natural text repeats its words, so most chunks are looked
 up.  A new chunk of plain Latin letters, digits and marks is cut into the pieces that the tokenizer's own pattern
-makes of it, and its model encodes each; any other chunk goes through the whole tokenizer.
+makes of it, and its model encodes each; any other chunk goes through the whole tokenizer.  So does a text in which
+an added token (an end-of-text mark, say) is written out: the library gives it the token's id, and so does this.
 """
 
 from __future__ import annotations
@@ -80,8 +81,9 @@ class CachedEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path, self.tok = path, Tokenizer.from_file(path)
+        self.added = sorted({t.content.lower() for t in self.tok.get_added_tokens_decoder().values()})
+        self.marks = {a[0] for a in self.added} | {a[0].upper() for a in self.added}
         self.model = self.tok.model
         self.drops_space, self.limit = drops_space, cache_words
         self.find = (_WORD_PIECE if drops_space else _BYTE_PIECE).findall
@@ -95,8 +97,17 @@ class CachedEncoder:
     def _spaced(self, word: str) -> bytes:
         return self._chunk(word if word[0] == "\n" else " " + word)
 
+    def _adds(self, text: str) -> bool:
+        """Whether an added token's string may stand in a text; the tokenizer finds it before it cuts words."""
+        if not any(m in text for m in self.marks):
+            return False
+        lower = text.lower()
+        return any(a in lower for a in self.added)
+
     def _ids(self, text: str) -> bytes:
         """Words between single spaces and line breaks need no search for chunks: after a space they stand alone."""
+        if self._adds(text):
+            return _bytes(self.tok.encode(text, add_special_tokens=False).ids)
         if self.drops_space or text[:1] in _BREAKS or text[-1] in _BREAKS or any(b in text for b in _DOUBLE):
             return b"".join(map(self.chunks.__getitem__, self._cut(text)))
         first, *words = text.replace("\n", " \n").split(" ")

@@ -1,18 +1,22 @@
 """Token files and packing against the tokenizers library itself."""
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from lexigrain.llm import packing, token_files, tokens
 from lexigrain.llm.common import scratch
 
 NAMES = {"word_bpe_49k.json": True, "byte_bpe_50k.json": False}
-PIECES = ["a", "Word", "b!", " ", "  ", "\n", "\t", "12", "'s", "é.", "ß", "İ", "\x85", "\xa0", "\x1c", " ", "²", "漢", "🎉", "<|endoftext|>", "don't", "é", "Ǆ"]
+PIECES = ["a", "Word", "b!", " ", "  ", "\n", "\t", "12", "'s", "é.", "ß", "İ", "\x85", "\xa0", "\x1c", " ", "²", "漢", "🎉", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "don't", "é", "Ǆ"]
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +24,14 @@ def encoders():
     return {n: tokens.CachedEncoder(tokens.tokenizer_path(n), drops, cache_words=500) for n, drops in NAMES.items()}
 
 
+@lru_cache
+def library(path):
+    return Tokenizer.from_file(path)
+
+
 def plain(encoder, texts):
-    return [e.ids for e in encoder.tok.encode_batch(texts, add_special_tokens=False)]
+    """The ids of a tokenizer of the library's own, with no option but the contract's."""
+    return [e.ids for e in library(encoder.path).encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -131,6 +141,34 @@ def test_plans_are_tight():
     assert used == bound
 
 
+def best_fit(histogram, capacity):
+    """Sequences that best fit by decreasing length takes."""
+    room, used = [], 0
+    for size in sorted((s for s, n in histogram.items() for _ in range(n)), reverse=True):
+        at = bisect_left(room, size)
+        free = room.pop(at) if at < len(room) else capacity
+        used += free == capacity
+        insort(room, free - size)
+    return used
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_program_is_no_worse_than_best_fit(sf):
+    """On the lengths of whole tables, whose numbers of different lengths go from few to thousands."""
+    texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    encoder = tokens.CachedEncoder(tokens.tokenizer_path("word_bpe_49k.json"), True)
+    sizes = [len(b) // 4 + 1 for b in encoder.encode([t or "" for t in texts])]
+    histogram = Counter(p for n in sizes for p in [4096] * (n // 4096) + ([n % 4096] if n % 4096 else []))
+    used, bound = check_plan(histogram)
+    assert used <= best_fit(histogram, 4096) and used <= bound + 1
+
+
+def test_fill_is_best():
+    left = np.array([0, 0, 3, 0, 0, 2, 0, 1])  # three 2s, two 5s, one 7
+    assert packing.best_fill(left, 12) == [(7, 1), (5, 1)] and packing.best_fill(left, 1) == []
+    assert packing.best_fill(left, 8) == [(7, 1)] and sum(s * k for s, k in packing.best_fill(left, 18)) == 18
+
+
 def test_lengths_that_units_round_up():
     assert check_plan({1365: 300})[0] == 100 and check_plan({17: 18}, 64)[0] == 6
 
@@ -143,9 +181,9 @@ def test_many_lengths_are_priced_exactly(monkeypatch):
         return {((0, 1), (69, 1)): 2.0}
 
     monkeypatch.setattr(packing, "configuration_lp", program)
-    recipes = packing.plan({n: 3 for n in range(1, 71)})
-    assert asked == [([*range(1, 71)], [3.0] * 70, 4096)]
-    assert any(r[:2] == ((70, 1), (1, 1)) for r, _ in recipes)
+    recipes = packing.plan({n: 3 for n in range(1, 71)}, 71)
+    assert asked == [([*range(1, 71)], [3.0] * 70, 71)]
+    assert recipes[0] == (((70, 1), (1, 1)), 2)
 
 
 def test_knapsack_is_best():
