@@ -1,19 +1,22 @@
 """Long repeated passages by recompression of word sequences.
 
-Words get names (hashes of their bytes), and so does every symbol built from them: the hash of what it expands to.
-Equal stretches thus have equal symbols everywhere, without a dictionary.
-
-* Pair round: a bit of its name puts each word on the left or the right; every left-right pair becomes a symbol.
-  Whether two words are a pair depends on them alone.
-* Run round: the pairs and the run of single words between two consecutive ones become a symbol of the next level.
-  It depends on nothing outside its expansion either, so any two equal windows have the same symbols inside.
-* Sharing round (Spark): every window of 13 words is represented by the smallest of the symbols inside it, or, if it
-  has none, by its own name.  Symbols that two documents have reveal where windows can repeat.
-* Verifying round (Spark): only windows with such a symbol are named, with 128 bits, and meet across documents.
-  The one in the smallest document stays, all others are covered.
-
-Both rounds combine within a task first: of documents that meet there, one stands for all, so a passage in a third
-of all documents comes to its range once per task.
+Words get names (hashes of their bytes), and so does every symbol made of them, so that equal stretches have equal
+symbols everywhere, without a dictionary.
+
+* Naming rounds: in round r a bit of its name puts each symbol on the left or the right, and every left-right pair
+  of neighbours becomes one symbol, named by the two.  ROUNDS rounds make symbols as long as WINDOW words hold for
+  certain: a pair depends on its two symbols alone, so all that is inside a window is named alike in every text, but
+  for the symbols at its ends that might pair with a neighbour outside.  Runs of one word never pair; a window that
+  is a run, or holds no pair for certain, is a symbol of its own.
+* Sharing round (Spark): every window is represented by the longest symbol, of the highest round, that is inside it
+  for certain.  Symbols that two documents have reveal where windows can repeat.
+* Verifying round (Spark): stretches of windows around a shared symbol meet by it, with codes of all their words.
+  Windows whose words agree one by one are equal; the one in the smallest document stays, all others are covered.
+
+Both Spark rounds combine within a task first: of documents that meet there, two stand for a symbol and one for a
+window, so a passage in a third of all documents comes to its range once per flush.  Windows around one of the
+HOT_LIST most frequent symbols go by their own names, so that a common phrase among ever different words is spread.
+A range drops covered windows while it reads, so it holds different windows only.
 
 Defined cases: a null text has no words; a document of under 13 words loses none; null identifiers come after all
 others; rows that share an identifier don't cover each other; an empty table gives an empty result.
@@ -31,118 +34,175 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .tokens import forget, slices, texts_of
-from .wordhash import SECOND_FACTOR, U64, WORD_FACTOR, Words, _prefix, mix, sequence_hashes
+from .wordhash import SECOND_FACTOR, U64, WORD_FACTOR, Words, mix, sequence_hashes
 
-WINDOW = 13
+WINDOW, ROUNDS = 13, 4
 #: Symbols, or windows, that a task combines before it hands them on.
-FLUSH = 1 << 19
-#: Symbols in a range, about.
-RANGE = 1 << 20
+FLUSH = 1 << 18
+#: Symbols in a range, about; windows that a range holds before it drops the covered ones.
+RANGE, HELD = 1 << 20, 1 << 20
+#: Entries in a range from which on a symbol is hot, and hot symbols that are told apart at most (512 KB).
+HOT, HOT_LIST = 1 << 10, 1 << 16
+#: Windows in a stretch at most.
+STRETCH = 128
+#: Bytes of a word's code: 312 bits are compared for a window.
+CODE = 3
 LAST = np.iinfo(np.int64).max
 
 
+def _group_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal keys begin, of sorted arrays."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def naming_round(symbol: np.ndarray, size: np.ndarray, text: np.ndarray, r: int) -> tuple[np.ndarray, ...]:
+    """Symbols, their words and texts after round ``r``; which were on the left; and where each one went."""
+    left = (mix(symbol ^ U64(0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1)) >> U64(17) & U64(1)).astype(bool)
+    pair = np.zeros(len(symbol), bool)
+    pair[:-1] = left[:-1] & ~left[1:] & (text[:-1] == text[1:])
+    stays = np.ones(len(symbol), bool)
+    stays[1:] = ~pair[:-1]
+    kept = np.flatnonzero(stays)
+    paired = pair[kept]
+    first = kept[paired]
+    out, length = symbol[kept], size[kept]
+    out[paired] = mix(symbol[first] * WORD_FACTOR + mix(symbol[first + 1]) + U64(r))
+    length[paired] += size[first + 1]
+    return out, length, text[kept], left, np.cumsum(stays) - 1
+
+
 class Parsed:
-    """Windows of a batch of texts: the first word of each, its text, and its representative symbol."""
+    """Windows of a batch of texts: the first word of each, its text, its representative symbol (even) and its name."""
 
-    def __init__(self, column: pa.Array, window: int = WINDOW) -> None:
+    def __init__(self, column: pa.Array, window: int = WINDOW, rounds: int = ROUNDS) -> None:
         self.words = words = Words(column)
-        name, first = words.hash, words.first
-        n = np.diff(first)
+        n = np.diff(words.first)
         text = np.repeat(np.arange(len(n)), n)
-        ends = np.zeros(len(name) + 1, bool)
-        ends[first[1:]] = True
-        left = (name >> U64(17) & U64(1)).astype(bool)
-        pairs = np.flatnonzero(left[:-1] & ~left[1:] & ~ends[1 : len(name)]) if len(name) > 1 else np.zeros(0, np.int64)
-        # Pairs and what lies between two consecutive ones.
-        begin, end = pairs[:-1], pairs[1:] + 2
-        sums, down = _prefix(name, WORD_FACTOR)
-        symbol = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64)) if len(begin) else np.zeros(0, U64)
-        at = np.arange(len(name))
-        self.start = start = at[at + window <= np.repeat(first[1:], n)]
+        at = np.arange(len(text))
+        self.start = start = at[at + window <= np.repeat(words.first[1:], n)]
         self.text = text[start]
-        before = np.searchsorted(pairs, start)
-        last = np.searchsorted(pairs, start + window - 2, "right") - 1
-        best = np.full(len(start), np.iinfo(np.uint64).max, U64)
-        inside = np.zeros(len(start), bool)
-        for k in range(window // 2):
-            j = before + k
-            has = j < last
-            if not has.any():
-                break
-            inside |= has
-            best[has] = np.minimum(best[has], symbol[j[has]])
-        own = sequence_hashes(name, window)[start] if len(start) else np.zeros(0, U64)
-        best[~inside] = mix(own[~inside] ^ SECOND_FACTOR)
-        self.symbol, self.name = best, own
-
-    def second_name(self, which: np.ndarray, window: int = WINDOW) -> np.ndarray:
-        return sequence_hashes(mix(self.words.hash ^ U64(0x2545F4914F6CDD1D)), window, SECOND_FACTOR)[self.start[which]]
+        self.name = sequence_hashes(words.hash, window)[start] if len(start) else np.zeros(0, U64)
+        self.symbol = mix(self.name ^ SECOND_FACTOR)
+        if len(start):
+            self._represent(text, window, rounds)
+        self.symbol &= ~U64(1)
+
+    def _represent(self, text: np.ndarray, window: int, rounds: int) -> None:
+        symbol, size = self.words.hash, np.ones(len(text), np.int64)
+        low, high = self.start, self.start + window  # the symbols inside each window for certain
+        levels = []
+        for r in range(rounds):
+            symbol, size, text, left, where = naming_round(symbol, size, text, r)
+            low = low + ~left[np.minimum(low, len(left) - 1)]
+            high = high - left[high - 1]
+            low, high = where[np.minimum(low, len(where) - 1)], np.where(high > low, where[high - 1] + 1, 0)
+            high = np.maximum(high, 1)
+            levels.append((symbol, size, low, high))
+        todo = np.arange(len(self.start))
+        for symbol, size, low, high in reversed(levels):
+            low, most = low[todo], high[todo]
+            best, longest = np.zeros(len(todo), U64), np.ones(len(todo), np.int64)
+            for k in range(int((most - low).max(initial=0))):
+                at = np.flatnonzero(low + k < most)
+                new, n = symbol[low[at] + k], size[low[at] + k]
+                better = (n > longest[at]) | (n == longest[at]) & (n > 1) & (new < best[at])
+                best[at[better]], longest[at[better]] = new[better], n[better]
+            found = longest > 1
+            self.symbol[todo[found]] = best[found]
+            todo = todo[~found]
+
+    def codes(self) -> np.ndarray:
+        return (self.words.hash >> U64(64 - 8 * CODE)).astype(np.uint32)
 
 
 def _parts(names: np.ndarray, ranges: int) -> np.ndarray:
     return ((names >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
 
 
-def _group_starts(*keys: np.ndarray) -> np.ndarray:
-    """Where groups of equal keys begin, of sorted arrays."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    new = np.zeros(len(keys[0]), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
+#: What goes to ranges of names; rows marked direct are hits of one text that need no meeting.
+_SYMBOLS = "part int, direct boolean, docs binary, hashes binary, values binary"
+_STRETCHES = _SYMBOLS + ", places binary, sizes binary, codes binary"
+#: Hits of a text: symbols, or places.
+_HITS = "doc_id long, text_hash long, hits binary"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
-#: What goes to ranges of names: windows and symbols in bytes, or, marked direct, hits that need no meeting.
-_OUT = "part int, direct boolean, docs binary, hashes binary, values binary, names binary, seconds binary"
-_OUT_KINDS = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-#: Hits (text, value) to ranges of texts.
-_HITS = "part int, docs binary, hashes binary, values binary"
-_HIT_KINDS = [pa.int32(), *[pa.binary()] * 3]
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
-def _rows(rows: list[tuple], schema: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
-    names = [c.split()[0] for c in schema.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+def _cuts(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of the parts that a sorted array has."""
+    first = _group_starts(part)
+    yield from zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True)
 
 
-def _dealt(part: np.ndarray, ranges: int, *columns: np.ndarray) -> Iterator[tuple]:
-    """Columns cut by part, as bytes; rows are sorted by part."""
-    cuts = np.searchsorted(part, np.arange(ranges + 1)).tolist()
-    for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if b > a:
-            yield (r, *(c[a:b].tobytes() for c in columns))
+def _hits(doc: np.ndarray, own: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """One row per text with its different values."""
+    order = np.lexsort((value, own, doc))
+    doc, own, value = doc[order], own[order], value[order].astype("<u8")
+    keep = _group_starts(doc, own, value)
+    doc, own, value = doc[keep], own[keep], value[keep]
+    first = _group_starts(doc, own)
+    return [(int(doc[a]), int(own[a]), value[a:b].tobytes()) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=False)]
 
 
-def _hits(doc: np.ndarray, own: np.ndarray, value: np.ndarray, ranges: int) -> list[tuple]:
-    """Hits to ranges of texts, in few rows however many texts there are."""
-    part = (mix(doc.astype(U64) ^ mix(own.astype(U64))) % U64(ranges)).astype(np.int64)
-    order = np.lexsort((value, own, doc, part))
-    return list(_dealt(part[order], ranges, *(c[order] for c in (doc, own, value.astype("<u8")))))
+def _direct(hits: list[tuple], ranges: int, width: int) -> list[tuple]:
+    """Hits as rows for the ranges, dealt by their texts."""
+    word = lambda n: np.int64(n).astype("<i8").tobytes()
+    return [((doc ^ own) % ranges, True, word(doc), word(own), values, *[None] * width) for doc, own, values in hits]
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _symbols_out(ranges: int, texts: int):
+def _hit_of(row: tuple) -> tuple:
+    """A direct row back as the hit of its text."""
+    return (*(int(np.frombuffer(row[k], "<i8")[0]) for k in (2, 3)), row[4])
+
+
+def _read(rows: list[tuple], kinds: dict[int, str]) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in kinds.items()]
+
+
+# The sharing round --------------------------------------------------------------------------------------------------
+
+
+def _meet(symbol: np.ndarray, doc: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different entries in order, which of them share their symbol with another document, and the groups' starts and sizes."""
+    order = np.lexsort((own, doc, symbol))
+    symbol, doc, own = symbol[order], doc[order], own[order]
+    keep = _group_starts(symbol, doc, own)
+    symbol, doc, own = symbol[keep], doc[keep], own[keep]
+    first = _group_starts(symbol)
+    size = np.diff(np.append(first, len(symbol)))
+    met = np.repeat(doc[first] != doc[first + size - 1], size)
+    return symbol, doc, own, met, first, size
+
+
+def _symbols_out(ranges: int):
     """Symbols to ranges of names; texts' symbols that meet here already are hits."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        symbol, doc, own = (np.concatenate([h[k] for h in held]) for k in range(3))
-        order = np.lexsort((own, doc, symbol))
-        symbol, doc, own = symbol[order], doc[order], own[order]
-        keep = _group_starts(symbol, doc, own)
-        symbol, doc, own = symbol[keep], doc[keep], own[keep]
-        first = _group_starts(symbol)
-        size = np.diff(np.append(first, len(symbol)))
-        several = doc[first] != doc[first + size - 1]
-        met = np.repeat(several, size)
-        out = [(r * (ranges // texts), True, d, o, v, None, None) for r, d, o, v in _hits(doc[met], own[met], symbol[met], texts)]
-        # Documents tied in one identifier all stand for it.
+        symbol, doc, own, met, first, size = _meet(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+        out = _direct(_hits(doc[met], own[met], symbol[met]), ranges, 0)
+        # Two documents stand for those that met, so the symbol is shared wherever either goes.
         stand = ~met
-        stand[first] = True
+        stand[first] = stand[first + size - 1] = True
         symbol, doc, own = symbol[stand], doc[stand], own[stand]
-        out += [(r, False, d, o, v, None, None) for r, d, o, v in _dealt(_parts(symbol, ranges), ranges, doc, own, symbol)]
-        return _rows(out, _OUT, _OUT_KINDS)
+        part = _parts(symbol, ranges)
+        out += [(r, False, doc[a:b].tobytes(), own[a:b].tobytes(), symbol[a:b].tobytes()) for r, a, b in _cuts(part)]
+        return _rows(out, _SYMBOLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -164,119 +224,182 @@ def _symbols_out(ranges: int, texts: int):
     return run
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    part, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and row[0] != part:
-                yield rows
-                rows = []
-            part = row[0]
-            rows.append(row)
-    if rows:
-        yield rows
-
-
-def _columns(rows: list[tuple], kinds: dict[int, str]) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in kinds.items()]
-
+def _shared(hot_from: int):
+    """Symbols that several documents have, as hits of their texts; hot ones also alone, with their number of entries."""
 
-def _shared(ranges: int, texts: int):
-    """Symbols that several documents have, as hits of their texts."""
+    def meet(held: list[tuple]) -> pa.RecordBatch:
+        symbol, doc, own, met, first, size = _meet(*_read(held, {4: "<u8", 2: "<i8", 3: "<i8"}))
+        hot = met[first] & (size >= hot_from)
+        alone = [(None, n, s.tobytes()) for s, n in zip(symbol[first[hot]], size[hot].tolist(), strict=True)]
+        return _rows(_hits(doc[met], own[met], symbol[met]) + alone, _HITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_part(batches):
-            out = [(r[0] // (ranges // texts), *r[2:5]) for r in rows if r[1]]
-            if held := [r for r in rows if not r[1]]:
-                doc, own, symbol = _columns(held, {2: "<i8", 3: "<i8", 4: "<u8"})
-                order = np.lexsort((own, doc, symbol))
-                symbol, doc, own = symbol[order], doc[order], own[order]
-                first = _group_starts(symbol)
-                size = np.diff(np.append(first, len(symbol)))
-                met = np.repeat(doc[first] != doc[first + size - 1], size)
-                out += _hits(doc[met], own[met], symbol[met], texts)
-            yield _rows(out, _HITS, _HIT_KINDS)
+        held, passed = [], []
+        for row in _in_turn(batches):
+            if row[1]:
+                passed.append(_hit_of(row))
+                if len(passed) >= 1 << 10:
+                    yield _rows(passed, _HITS)
+                    passed = []
+                continue
+            if held and row[0] != held[0][0]:
+                yield meet(held)
+                held = []
+            held.append(row)
+        if passed:
+            yield _rows(passed, _HITS)
+        if held:
+            yield meet(held)
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of distinct values for each text of a range."""
-    for rows in _by_part(batches):
-        doc, own, value = _columns(rows, {1: "<i8", 2: "<i8", 3: "<u8"})
-        order = np.lexsort((value, own, doc))
-        doc, own, value = doc[order], own[order], value[order]
-        keep = _group_starts(doc, own, value)
-        doc, own, value = doc[keep], own[keep], value[keep]
-        cuts = _group_starts(doc, own)
-        ends = [*cuts[1:].tolist(), len(doc)]
-        values = [value[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(own[cuts]), pa.array(values, pa.binary())], names=["doc_id", "text_hash", "hits"])
+# The verifying round ------------------------------------------------------------------------------------------------
 
 
-def _covered(name, second, doc, own, at, *more) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Windows in order of their names, and which of them a smaller document has as well."""
-    order = np.lexsort((at, own, doc, second, name))
-    columns = [c[order] for c in (name, second, doc, own, at, *more)]
-    first = _group_starts(*columns[:2])
-    least = np.repeat(columns[2][first], np.diff(np.append(first, len(order))))
-    return columns[2] > least, columns
+def covered(symbol: np.ndarray, name: np.ndarray, doc: np.ndarray, words: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which windows a smaller document has as well; window i begins at ``codes[words[i]]``.
 
-
-def _windows_out(ranges: int, texts: int):
-    """Windows with shared symbols to ranges of these, combined; places that are covered here already are hits.
-
-    Neighbouring windows mostly have one symbol, so they go together.
+    Windows meet by symbol and name; then all their words are compared, and those that differ from the first of
+    their group are grouped again without it.
     """
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        hit, (name, second, doc, own, at, part) = _covered(*(np.concatenate([h[k] for h in held]) for k in range(6)))
-        out = [(r * (ranges // texts), True, d, o, v, None, None) for r, d, o, v in _hits(doc[hit], own[hit], at[hit], texts)]
-        order = np.flatnonzero(~hit)
-        order = order[np.argsort(part[order], kind="stable")]
-        columns = (doc[order], own[order], at[order].astype("<u8"), name[order], second[order])
-        out += [(r, False, *c) for r, *c in _dealt(part[order], ranges, *columns)]
-        return _rows(out, _OUT, _OUT_KINDS)
+    out = np.zeros(len(name), bool)
+    todo = np.arange(len(name))
+    while len(todo):
+        order = todo[np.lexsort((doc[todo], name[todo], symbol[todo]))]
+        first = _group_starts(symbol[order], name[order])
+        leader = np.repeat(order[first], np.diff(np.append(first, len(order))))
+        same = np.ones(len(order), bool)
+        for k in range(WINDOW):
+            same &= codes[words[order] + k] == codes[words[leader] + k]
+        out[order[same]] = doc[order[same]] > doc[leader[same]]
+        todo = order[~same]
+    return out
+
+
+class Stretches:
+    """Windows as stretches of consecutive ones: doc, own, symbol, place of the first, number, and all words' codes."""
+
+    def __init__(self) -> None:
+        self.doc, self.own, self.at = (np.zeros(0, np.int64) for _ in range(3))
+        self.symbol, self.words, self.codes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, doc, own, symbol, at, words, codes) -> None:
+        """More windows; ``words`` are their first words in ``codes``."""
+        self.words = np.concatenate([self.words, words + len(self.codes)])
+        self.codes = np.concatenate([self.codes, codes])
+        for name, more in (("doc", doc), ("own", own), ("symbol", symbol), ("at", at)):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
+
+    def read(self, rows: list[tuple]) -> None:
+        doc, own, symbol, at, size = _read(rows, {2: "<i8", 3: "<i8", 4: "<u8", 5: "<u4", 6: "u1"})
+        raw = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, CODE).astype(np.uint32)
+        codes = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+        size = size.astype(np.int64)
+        long = size + WINDOW - 1
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        spread = lambda c: np.repeat(c, size)
+        self.add(spread(doc), spread(own), spread(symbol), spread(at.astype(np.int64)) + step, spread(np.cumsum(long) - long) + step, codes)
+
+    def settle(self) -> list[tuple]:
+        """Hits of the windows that a smaller document here has; only the others are kept."""
+        if not len(self.doc):
+            return []
+        name = sequence_hashes(mix(self.codes.astype(U64) + U64(1)), WINDOW)[self.words]
+        hit = covered(self.symbol, name, self.doc, self.words, self.codes)
+        out = _hits(self.doc[hit], self.own[hit], self.at[hit])
+        for c in ("doc", "own", "symbol", "at", "words"):
+            setattr(self, c, getattr(self, c)[~hit])
+        used = np.zeros(len(self.codes) + 1, np.int64)
+        np.add.at(used, self.words, 1)
+        np.add.at(used, self.words + WINDOW, -1)
+        used = np.cumsum(used)[:-1] > 0
+        self.words = (np.cumsum(used) - 1)[self.words]
+        self.codes = self.codes[used]
+        return out
+
+    def rows(self, ranges: int, hot: np.ndarray) -> list[tuple]:
+        """Stretches to the ranges of their symbols; windows around hot symbols alone to those of their names."""
+        if not len(self.doc):
+            return []
+        alone = np.isin(self.symbol, hot)
+        new = alone.copy()
+        new[1:] |= alone[:-1]
+        new[_group_starts(self.doc, self.own, self.symbol)] = True
+        new[1:] |= (np.diff(self.at) != 1) | (np.diff(self.words) != 1)
+        first = np.flatnonzero(new)
+        new |= (np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))) % STRETCH == 0
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(new)))
+        name = mix(sequence_hashes(mix(self.codes.astype(U64) + U64(1)), WINDOW)[self.words[first]])
+        part = _parts(np.where(alone[first], name, self.symbol[first]), ranges)
+        order = np.argsort(part, kind="stable")
+        first, size, part = first[order], size[order], part[order]
+        long = size + WINDOW - 1
+        ends = np.cumsum(long)
+        every = np.repeat(self.words[first] - (ends - long), long) + np.arange(int(ends[-1]))
+        codes = self.codes[every].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :CODE]
+        doc, own, symbol, at = self.doc[first], self.own[first], self.symbol[first], self.at[first].astype("<u4")
+        return [(r, False, doc[a:b].tobytes(), own[a:b].tobytes(), symbol[a:b].tobytes(), at[a:b].tobytes(), size[a:b].astype("u1").tobytes(), codes[ends[a] - long[a] : ends[b - 1]].tobytes()) for r, a, b in _cuts(part)]
+
+
+def _windows_out(ranges: int, hot):
+    """Stretches around shared symbols to ranges, combined; places that are covered here already are hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held = Stretches()
+
+        def flush() -> pa.RecordBatch:
+            hits = _direct(held.settle(), ranges, 3)
+            return _rows(hits + held.rows(ranges, hot.value), _STRETCHES)
+
         for whole in batches:
             for batch in slices(whole, "text"):
                 p = Parsed(batch.column(3))
                 doc, own = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1))
-                shared = [np.frombuffer(b, "<u8") for b in batch.column(2).to_pylist()]
+                shared = [np.frombuffer(b"".join(lists), "<u8") for lists in batch.column(2).to_pylist()]
                 # (text, symbol) of windows looked up in those that are shared, by one mixed key.
                 key = np.sort(mix(np.concatenate(shared) ^ mix(np.repeat(np.arange(len(shared), dtype=U64), [len(s) for s in shared]))))
                 mine = mix(p.symbol ^ mix(p.text.astype(U64)))
-                found = np.searchsorted(key, mine)
-                which = np.flatnonzero(key[np.minimum(found, len(key) - 1)] == mine)
+                which = np.flatnonzero(key[np.minimum(np.searchsorted(key, mine), len(key) - 1)] == mine)
                 text = p.text[which]
-                held.append((p.name[which], p.second_name(which), doc[text], own[text], p.start[which] - p.words.first[text], _parts(p.symbol[which], ranges)))
-                size += len(which)
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
+                held.add(doc[text], own[text], p.symbol[which], p.start[which] - p.words.first[text], p.start[which], p.codes())
+                if len(held.doc) >= FLUSH or len(held.codes) >= 16 * FLUSH:
+                    yield flush()
+                    held = Stretches()
+        if len(held.doc):
+            yield flush()
 
     return run
 
 
-def _repeats(ranges: int, texts: int):
+def _repeats(most: int):
     """Places of windows that a smaller document has, as hits of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_part(batches):
-            out = [(r[0] // (ranges // texts), *r[2:5]) for r in rows if r[1]]
-            if held := [r for r in rows if not r[1]]:
-                doc, own, at, name, second = _columns(held, {2: "<i8", 3: "<i8", 4: "<u8", 5: "<u8", 6: "<u8"})
-                hit, (_, _, doc, own, at) = _covered(name, second, doc, own, at)
-                out += _hits(doc[hit], own[hit], at[hit], texts)
-            yield _rows(out, _HITS, _HIT_KINDS)
+        held, waiting, part, n = Stretches(), [], None, 0
+        for row in _in_turn(batches):
+            if row[1]:
+                yield _rows([_hit_of(row)], _HITS)
+                continue
+            if waiting and (row[0] != part or n >= most):
+                held.read(waiting)
+                yield _rows(held.settle(), _HITS)
+                waiting, n = [], 0
+            if row[0] != part:
+                held, part = Stretches(), row[0]
+            waiting.append(row)
+            n += sum(row[6])
+        if waiting:
+            held.read(waiting)
+            yield _rows(held.settle(), _HITS)
 
     return run
 
 
+# Texts --------------------------------------------------------------------------------------------------------------
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of words, and the digest of all of them."""
     for whole in batches:
@@ -296,7 +419,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed, kept = [], []
             for places, text in zip(batch.column(2).to_pylist(), texts_of(batch), strict=True):
                 words = text.encode().split()
-                at = np.frombuffer(places, "<u8").astype(np.int64)
+                at = np.frombuffer(b"".join(places), "<u8").astype(np.int64)
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + WINDOW, -1)
@@ -313,20 +436,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_removed, kept of the texts that lose words."""
+    spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
     words = (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // 6
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(16, 2 * partitions, words // 4 // RANGE + 1)
-    texts = max(8, partitions // 2)  # ranges of texts; hits are few bytes each, so fewer and fuller blocks will do
+    ranges = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), words // 4 // RANGE + 1)
     by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
-    met = by_part(rows.mapInArrow(_symbols_out(ranges, texts), _OUT)).mapInArrow(_shared(ranges, texts), _HITS)
-    shared = by_part(met).mapInArrow(_gather, "doc_id long, text_hash long, hits binary")
-    found = rows.join(shared, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    of_text = lambda hits: hits.groupBy("doc_id", "text_hash").agg(F.collect_list("hits").alias("hits"))
+    met = table(by_part(rows.mapInArrow(_symbols_out(ranges), _SYMBOLS)).mapInArrow(_shared(HOT), _HITS))
+    top = met.where("doc_id IS NULL").orderBy(F.desc("text_hash"), "hits").limit(HOT_LIST).select("hits").collect()
+    hot = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in top), "<u8")))
+    found = rows.join(of_text(met.where("doc_id IS NOT NULL")), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     found = table(found.select("doc_id", "text_hash", "hits", "text"), compression="zstd")
-    met = by_part(found.mapInArrow(_windows_out(ranges, texts), _OUT)).mapInArrow(_repeats(ranges, texts), _HITS)
-    hits = by_part(met).mapInArrow(_gather, "doc_id long, text_hash long, hits binary")
-    covered = found.select("doc_id", "text_hash", "text").join(hits, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "hits", "text")
-    return covered.mapInArrow(_without, "doc_id long, text_hash long, n_removed long, kept string")
+    hits = table(by_part(found.mapInArrow(_windows_out(ranges, hot), _STRETCHES)).mapInArrow(_repeats(HELD), _HITS))
+    lost = found.select("doc_id", "text_hash", "text").join(of_text(hits), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "hits", "text")
+    return lost.mapInArrow(_without, "doc_id long, text_hash long, n_removed long, kept string")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

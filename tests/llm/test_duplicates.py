@@ -166,15 +166,55 @@ def test_documents_passages(documents):
     check_passages(documents, [(r.doc_id, r.text) for r in documents.collect()])
 
 
-@pytest.mark.parametrize("flush", [1 << 19, 40])
-def test_runs_periods_and_small_alphabets(spark, monkeypatch, flush):
-    monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+@pytest.mark.parametrize(("flush", "held", "hot"), [(1 << 19, 1 << 20, 1 << 10), (40, 60, 2), (40, 1 << 20, 9)])
+def test_runs_periods_and_small_alphabets(spark, monkeypatch, flush, held, hot):
+    """Small flushes, ranges that drop covered windows while they read, and hot symbols give the same rows."""
+    for name, value in (("FLUSH", flush), ("HELD", held), ("HOT", hot)):
+        monkeypatch.setattr(substring_dedup, name, value)
     r = random.Random(3)
     rows = [(i, " ".join(r.choice("abc"[: r.choice([1, 1, 2, 3])]) for _ in range(r.randint(0, 60)))) for i in range(250)]
     rows += [(1000 + i, "a " * (10 + i)) for i in range(8)] + [(2000 + i, "a b " * (5 + i)) for i in range(6)]
     check_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
 
 
+def test_common_phrase_among_different_words(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    r = random.Random(8)
+    phrase = " ".join(f"common{i}" for i in range(9))
+    rows = [(i, " ".join(f"w{r.randint(0, 6)}" for _ in range(4)) + f" {phrase} " + " ".join(f"w{r.randint(0, 3)}" for _ in range(6))) for i in range(400)]
+    check_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), rows)
+
+
+def test_texts_that_share_an_identifier(spark, monkeypatch):
+    """A window of a smaller identifier's text covers, also if another text of that identifier has met first."""
+    monkeypatch.setattr(substring_dedup, "FLUSH", 1)
+    say = lambda *w: " ".join(w)
+    a, b, c = ([f"{x}{i}" for i in range(13)] for x in "abc")
+    rows = [(5, say(*a, "x")), (7, say(*a, *b)), (5, say(*b, "y")), (9, say(*c, "u")), (8, say("v", *c)), (9, say(*c, "z"))]
+    check_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+
+
+def test_symbols_inside_windows_depend_on_words_alone():
+    import pyarrow as pa
+
+    r = random.Random(1)
+    passage = [r.choice("abcdefgh") + str(r.randint(0, 3)) for _ in range(60)]
+    texts = [" ".join([r.choice("xyzab") + "1" for _ in range(r.randint(0, 5))] + passage + ["b2"] * r.randint(0, 4)) for _ in range(40)]
+    p = substring_dedup.Parsed(pa.array(texts))
+    by_name = defaultdict(set)
+    for name, symbol in zip(p.name.tolist(), p.symbol.tolist(), strict=True):
+        by_name[name].add(symbol)
+    assert all(len(s) == 1 for s in by_name.values()) and len({s for v in by_name.values() for s in v}) < len(by_name)
+
+
+def test_names_that_collide_are_compared_by_words():
+    codes = np.arange(60, dtype=np.uint32)
+    codes[30:43] = codes[0:13]
+    words, doc = np.array([0, 13, 30, 13]), np.array([4, 3, 6, 9])
+    same = np.zeros(4, np.uint64)
+    assert substring_dedup.covered(same, same, doc, words, codes).tolist() == [False, False, True, True]
+
+
 def test_passages_odd(odd, odd_rows, empty):
     out = substring_dedup.dedup_passages(odd).collect()
     want = plain_passages([(10**18 if d is None else d, t) for d, t, _ in odd_rows])
