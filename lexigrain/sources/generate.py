@@ -7,13 +7,14 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrain import schemas
 from lexigrain.functions.random import between, pick, uniform, weighted
 from lexigrain.functions.text import phone_number
+from lexigrain.sources.files import list_files, move, remove, write_file
 
 #: Control words with their probabilities, and filler words (two occur twice or as control words too).
 CONTROL_WORDS = {"concurrency": 0.20, "runtime": 0.10, "indexing": 0.05, "normalization": 0.01, "atomics": 0.005, "idempotency": 0.001}
@@ -45,16 +46,23 @@ def titles(spark: SparkSession, n: int, seed: int = 0, partitions: int | None =
     return ids.select("id", F.array_join(F.transform(words, lambda x: x["w"]), " ").alias("title"))
 
 
-def _phones(key: Column, seed: int, first: Column) -> Column:
-    """The list of a contact: NULL, never empty; ``first`` is the number of its first phone that has one."""
+def _templates(key: Column, seed: int) -> Column:
+    """What each phone of a contact has: both, number, type or none; NULL for no phones."""
     low = weighted(uniform(key, seed, "count"), PHONE_COUNTS)
     n = F.when(low == 3, between(key, 3, MAX_PHONES, seed, "many")).otherwise(low)
-    template = lambda i: weighted(uniform(key, seed, "template", i), PHONE_TEMPLATES)
-    kinds = F.transform(F.sequence(F.lit(1), n), template)
-    return F.when(n > 0, F.transform(kinds, lambda t, i: F.struct(
-        F.when(t.isin("both", "number"), phone_number(first + F.size(F.filter(F.slice(kinds, 1, i), lambda x: x.isin("both", "number"))))).alias("number"),
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: weighted(uniform(key, seed, "template", i), PHONE_TEMPLATES)))
+
+
+def _has_number(template: Column) -> Column:
+    return template.isin("both", "number")
+
+
+def _phones(key: Column, seed: int, templates: Column, first: Column) -> Column:
+    """The list of a contact: NULL, never empty; ``first`` is the number of its first phone that has one."""
+    return F.transform(templates, lambda t, i: F.struct(
+        F.when(_has_number(t), phone_number(first + F.size(F.filter(F.slice(templates, 1, i), _has_number)))).alias("number"),
         F.when(t.isin("both", "type"), weighted(uniform(key, seed, "kind", i), PHONE_TYPES)).alias("phone_type"),
-    )))
+    ))
 
 
 def _name(key: Column, seed: int) -> Column:
@@ -62,32 +70,37 @@ def _name(key: Column, seed: int) -> Column:
     return F.when(uniform(key, seed, "named") < NAME_SHARE, full)
 
 
-def contacts(spark: SparkSession, n: int, batch_size: int = 4096, seed: int = 0, partitions: int | None = None) -> DataFrame:
-    """n contacts.  Phone numbers are unique: the present ones of batch b count up from b * batch_size * 5, in row order.
+def count_up(df: DataFrame, batch: str, order: str, amount: Column, base: Column) -> Column:
+    """Contiguous numbers in each batch: ``base`` and the amounts of the rows before, in ``order``."""
+    w = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return base + F.coalesce(F.sum(amount).over(w), F.lit(0))
+
+
+def batch_bounds(df: DataFrame, batch: str, number: str) -> DataFrame:
+    """The first and last number of each batch, and how many it has."""
+    return df.groupBy(batch).agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(number).alias("numbers"))
+
+
+def contacts_in_batches(spark: SparkSession, n: int, batch_size: int = 4096, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """n contacts and their batch.  Phone numbers are unique: the present ones of batch b count up from
+    b * batch_size * 5, in row order.
 
     Batches are a range that is partitioned by their number, and so are the contacts exploded from them: the running
     count is a window over the batch that needs no shuffle.
     """
     batches = -(-n // batch_size)
     rng = spark.range(0, batches, 1, min(batches, partitions)) if partitions and batches else spark.range(batches)
-    base = F.col("id") * batch_size
-    rows = F.least(F.lit(n) - base, F.lit(batch_size))
+    rows = F.least(F.lit(n) - F.col("id") * batch_size, F.lit(batch_size))
     drafts = rng.select("id", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("at"))
-    key = drafts["id"] * batch_size + drafts["at"]
-    made = drafts.select("id", "at", _name(key, seed).alias("name"), _phones(key, seed, F.lit(0)).alias("phones"))
-    return _count_up(made, batch_size).select("name", "phones")
-
+    key = F.col("id") * batch_size + F.col("at")
+    made = drafts.select("id", "at", _templates(key, seed).alias("kinds"))
+    has = F.coalesce(F.size(F.filter("kinds", _has_number)), F.lit(0))
+    made = made.withColumn("first", count_up(made, "id", "at", has, F.col("id") * (batch_size * MAX_PHONES)))
+    return made.select(F.col("id").alias("batch"), _name(key, seed).alias("name"), _phones(key, seed, F.col("kinds"), F.col("first")).alias("phones"))
 
-def _count_up(made: DataFrame, batch_size: int) -> DataFrame:
-    from pyspark.sql import Window
 
-    has = F.coalesce(F.size(F.filter("phones", lambda p: p["number"].isNotNull())), F.lit(0))
-    w = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("id") * (batch_size * MAX_PHONES) + F.coalesce(F.sum("_has").over(w), F.lit(0))
-    counted = made.withColumn("_has", has).withColumn("_first", first)
-    own = lambda p: F.substring(p["number"], 5, 10).cast("long")
-    phones = F.transform("phones", lambda p: F.struct(F.when(p["number"].isNotNull(), phone_number(F.col("_first") + own(p))).alias("number"), p["phone_type"].alias("phone_type")))
-    return counted.select("id", "at", "name", phones.alias("phones"))
+def contacts(spark: SparkSession, n: int, batch_size: int = 4096, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    return contacts_in_batches(spark, n, batch_size, seed, partitions).select("name", "phones")
 
 
 # The parallel sink --------------------------------------------------------------------------------------------------
@@ -97,6 +110,17 @@ class PipelineConfigError(ValueError):
     pass
 
 
+#: What a wrong configuration is told.
+NO_WRITERS = "Number of writers must be greater than zero."
+NO_PRODUCERS = "No. of producer threads must be greater than zero. Total threads: {threads}. Writer threads: {writers}."
+NO_SCHEMA = "The pipeline config is missing an Arrow schema definition."
+TOO_MANY = (
+    "Configuration error: The requested number of target_records ({records}) is too high. "
+    "Based on the system's capacity of {capacity} unique phone numbers and a maximum of {most} phones per record, "
+    "the limit for target_records is {limit}. Please adjust the configuration."
+)
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     """Checked when made: writers, producers, schema, records, in this order."""
@@ -111,17 +135,13 @@ class PipelineConfig:
 
     def __post_init__(self) -> None:
         if self.num_writers == 0:
-            raise PipelineConfigError("Number of writers must be greater than zero.")
+            raise PipelineConfigError(NO_WRITERS)
         if self.num_producers == 0:
-            raise PipelineConfigError(f"No. of producer threads must be greater than zero. Total threads: {self.total_threads}. Writer threads: {self.num_writers}.")
+            raise PipelineConfigError(NO_PRODUCERS.format(threads=self.total_threads, writers=self.num_writers))
         if not self.schema.fields:
-            raise PipelineConfigError("The pipeline config is missing an Arrow schema definition.")
+            raise PipelineConfigError(NO_SCHEMA)
         if self.target_records * MAX_PHONES >= PHONE_LIMIT:
-            raise PipelineConfigError(
-                f"Configuration error: The requested number of target_records ({self.target_records}) is too high. "
-                f"Based on the system's capacity of {PHONE_LIMIT} unique phone numbers and a maximum of {MAX_PHONES} phones per record, "
-                f"the limit for target_records is {PHONE_LIMIT // MAX_PHONES}. Please adjust the configuration."
-            )
+            raise PipelineConfigError(TOO_MANY.format(records=self.target_records, capacity=PHONE_LIMIT, most=MAX_PHONES, limit=PHONE_LIMIT // MAX_PHONES))
 
     @property
     def num_producers(self) -> int:
@@ -132,23 +152,48 @@ class PipelineConfig:
         return -(-self.target_records // self.record_batch_size)
 
 
-#: What a generator is: (spark, records, batch size) to rows of the configured schema.
+#: What a generator is: (spark, records, batch size) to rows of the configured schema after their batch, a whole number.
 Generator = Callable[[SparkSession, int, int], DataFrame]
 
 
-def write_parallel(spark: SparkSession, config: PipelineConfig, generator: Generator = contacts) -> dict[str, float]:
-    """Write ``num_writers`` files, ``{output_filename}_{i}.parquet`` folders of one file each, and measure.
+def _keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that repartition(n) deals to it, so that every file has a task of its own."""
+    found = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("key")).collect()
+    keys = dict(map(tuple, found))
+    return [keys.get(i, i) for i in range(n)]
 
-    Batch i goes to file i mod M, as one write partitioned by the file's number.
+
+def write_parallel(spark: SparkSession, config: PipelineConfig, generator: Generator = contacts_in_batches) -> dict[str, float]:
+    """Write the files ``{output_filename}_{i}.parquet`` of ``output_dir``, and measure.
+
+    Batch i goes to file i mod ``num_writers``; a file that gets no batch isn't written.  Each file is one task's, and
+    they are moved to their names when all are whole.
     """
     began = time.perf_counter()
     rows = generator(spark, config.target_records, config.record_batch_size)
-    if rows.schema.simpleString() != config.schema.simpleString():
-        raise PipelineConfigError(f"the generator's schema {rows.schema.simpleString()} isn't {config.schema.simpleString()}")
-    path = f"{config.output_dir}/{config.output_filename}"
-    rows.repartition(config.num_writers).write.parquet(path)
+    first, *fields = rows.schema.fields
+    own = T.StructType(fields).simpleString()
+    if first.name != "batch" or own != config.schema.simpleString():
+        raise PipelineConfigError(f"the generator's schema {rows.schema.simpleString()} isn't batch and {config.schema.simpleString()}")
+    n = config.num_writers
+    file = F.pmod("batch", F.lit(n)).cast("int")
+    key = F.element_at(F.array(*map(F.lit, _keys(spark, n))), file + 1)
+    dealt = rows.withColumns({"_file": file, "_key": key.cast("long")}).repartition(n, "_key").drop("_key", "batch")
+    folder = f"{config.output_dir}/.{config.output_filename}"
+    dealt.write.partitionBy("_file").mode("overwrite").parquet(folder)
+    size = 0
+    for i in range(min(n, config.total_batches)):
+        (written, length), *_ = list_files(spark, f"{folder}/_file={i}", ".parquet")
+        move(spark, written, f"{config.output_dir}/{config.output_filename}_{i}.parquet")
+        size += length
+    remove(spark, folder)
     seconds = time.perf_counter() - began
-    return {"records": config.target_records, "seconds": seconds, "records_per_sec": config.target_records / seconds}
+    return {"records": config.target_records, "bytes": size, "seconds": seconds, "records_per_sec": config.target_records / seconds, "gb_per_sec": size / 1e9 / seconds}
+
+
+def write_single(df: DataFrame, folder: str, name: str = "contacts") -> str:
+    """All rows as the one file ``{name}.parquet`` of a folder."""
+    return write_file(df, f"{folder}/{name}.parquet")
 
 
 def docs_name(n: int, indexed: bool = False) -> str:

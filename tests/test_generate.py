@@ -62,14 +62,37 @@ def test_running_count_needs_no_shuffle(spark):
     assert "Exchange" not in g.contacts(spark, 5000, 64, partitions=4)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("writers", [1, 2, 4, 8])
+@pytest.mark.parametrize("writers", [1, 2, 4, 8, 12])
 def test_parallel_sink(spark, tmp_path, writers):
     config = g.PipelineConfig(10_000, writers, 1024, str(tmp_path), total_threads=16)
     metrics = g.write_parallel(spark, config)
-    out = tmp_path / config.output_filename
-    assert len(list(out.glob("*.parquet"))) == writers
-    read = spark.read.parquet(str(out))
+    files = sorted(p.name for p in tmp_path.glob("*.parquet"))
+    assert files == sorted(f"contacts_{i}.parquet" for i in range(min(writers, 10))) and metrics["bytes"] == sum((tmp_path / f).stat().st_size for f in files)
+    sizes = [min(1024, 10_000 - b * 1024) for b in range(10)]
+    for i in range(min(writers, 10)):
+        assert spark.read.parquet(str(tmp_path / f"contacts_{i}.parquet")).count() == sum(sizes[i::writers])
+    read = spark.read.parquet(str(tmp_path / "*.parquet"))
     assert read.schema.simpleString() == config.schema.simpleString() and read.count() == 10_000 == metrics["records"]
+    assert rows(read) == rows(g.contacts(spark, 10_000, 1024))
+
+
+def test_single_file_and_its_footer(spark, tmp_path):
+    from lexigrain.sources.files import read_footer
+
+    path = g.write_single(literal.contacts(spark), str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["contacts.parquet"]
+    assert rows(spark.read.parquet(path)) == rows(literal.contacts(spark))
+    footer = read_footer(spark, path)
+    assert footer.rows == 5 and footer.columns == ("name", "phones") and len(footer.groups) == 1
+    assert footer.groups[0][1]["name"] == ("Alice", "Diana") and any("spark" in k for k in footer.metadata)
+
+
+def test_numbers_of_a_batch(spark):
+    flat = nested.flatten_inner(g.contacts_in_batches(spark, 1000, 64, 3), "phones", "batch").where("number IS NOT NULL")
+    out = g.batch_bounds(flat.withColumn("n", F.substring("number", 5, 10).cast("long")), "batch", "n").collect()
+    assert len(out) == 16
+    for r in out:
+        assert r["first"] == r.batch * 64 * 5 and r["last"] == r["first"] + r["numbers"] - 1
 
 
 @pytest.mark.parametrize(("change", "message"), [
@@ -85,7 +108,7 @@ def test_config_errors(change, message):
 
 def test_wrong_generator_schema(spark, tmp_path):
     with pytest.raises(g.PipelineConfigError, match="schema"):
-        g.write_parallel(spark, g.PipelineConfig(10, 1, 4, str(tmp_path), total_threads=4), lambda s, n, b: s.range(n))
+        g.write_parallel(spark, g.PipelineConfig(10, 1, 4, str(tmp_path), total_threads=4), lambda s, n, b: s.range(n).withColumnRenamed("id", "batch"))
 
 
 def test_flatten_golden(spark):
