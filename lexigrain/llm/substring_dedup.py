@@ -128,8 +128,10 @@ def _parts(names: np.ndarray, ranges: int) -> np.ndarray:
 #: What goes to ranges of names; rows marked direct are hits of one text that need no meeting.
 _SYMBOLS = "part int, direct boolean, docs binary, hashes binary, values binary"
 _STRETCHES = _SYMBOLS + ", places binary, sizes binary, codes binary"
-#: Hits of a text: symbols, or places.
-_HITS = "doc_id long, text_hash long, hits binary"
+#: A hit of a text: a symbol, or places in a row as the first one and, in the upper half, their number.  In the sharing
+#: round a hit without a document is a hot symbol, with its number of entries.
+_HITS = "doc_id long, text_hash long, hit long"
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
@@ -145,20 +147,36 @@ def _cuts(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True)
 
 
-def _hits(doc: np.ndarray, own: np.ndarray, value: np.ndarray) -> list[tuple]:
-    """One row per text with its different values."""
+def _distinct(doc: np.ndarray, own: np.ndarray, value: np.ndarray) -> Hits:
     order = np.lexsort((value, own, doc))
-    doc, own, value = doc[order], own[order], value[order].astype("<u8")
+    doc, own, value = doc[order], own[order], value[order]
     keep = _group_starts(doc, own, value)
-    doc, own, value = doc[keep], own[keep], value[keep]
-    first = _group_starts(doc, own)
-    return [(int(doc[a]), int(own[a]), value[a:b].tobytes()) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=False)]
+    return doc[keep], own[keep], value[keep].astype(np.int64)
+
+
+def _in_rows(doc: np.ndarray, own: np.ndarray, at: np.ndarray) -> Hits:
+    """Places as the first and the number of those that follow one another."""
+    doc, own, at = _distinct(doc, own, at)
+    first = _group_starts(doc, own, at - np.arange(len(at)))
+    n = np.diff(np.append(first, len(at)))
+    return doc[first], own[first], at[first] | n << 32
 
 
-def _direct(hits: list[tuple], ranges: int, width: int) -> list[tuple]:
-    """Hits as rows for the ranges, dealt by their texts."""
-    word = lambda n: np.int64(n).astype("<i8").tobytes()
-    return [((doc ^ own) % ranges, True, word(doc), word(own), values, *[None] * width) for doc, own, values in hits]
+def _batch(hits: Hits, hot: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+    columns = [pa.array(c) for c in hits]
+    if hot is not None:
+        more = (pa.nulls(len(hot[0]), pa.int64()), pa.array(hot[0]), pa.array(hot[1]))
+        columns = [pa.concat_arrays(c) for c in zip(columns, more, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "hit"])
+
+
+def _direct(hits: Hits, ranges: int, width: int) -> list[tuple]:
+    """Hits as a row per text for the ranges, dealt by their texts."""
+    doc, own, value = hits
+    first = _group_starts(doc, own)
+    part = (mix(doc[first].astype(U64) ^ mix(own[first].astype(U64))) % U64(ranges)).astype(np.int64)
+    ends = [*first[1:].tolist(), len(doc)]
+    return [(r, True, doc[a : a + 1].tobytes(), own[a : a + 1].tobytes(), value[a:b].tobytes(), *[None] * width) for r, a, b in zip(part.tolist(), first.tolist(), ends, strict=False)]
 
 
 def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -166,9 +184,10 @@ def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _hit_of(row: tuple) -> tuple:
-    """A direct row back as the hit of its text."""
-    return (*(int(np.frombuffer(row[k], "<i8")[0]) for k in (2, 3)), row[4])
+def _hits_of(row: tuple) -> pa.RecordBatch:
+    """A direct row back as hits."""
+    doc, own, value = (np.frombuffer(row[k], "<i8") for k in (2, 3, 4))
+    return _batch((np.repeat(doc, len(value)), np.repeat(own, len(value)), value))
 
 
 def _read(rows: list[tuple], kinds: dict[int, str]) -> list[np.ndarray]:
@@ -195,7 +214,7 @@ def _symbols_out(ranges: int):
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         symbol, doc, own, met, first, size = _meet(*(np.concatenate([h[k] for h in held]) for k in range(3)))
-        out = _direct(_hits(doc[met], own[met], symbol[met]), ranges, 0)
+        out = _direct(_distinct(doc[met], own[met], symbol[met]), ranges, 0)
         # Two documents stand for those that met, so the symbol is shared wherever either goes.
         stand = ~met
         stand[first] = stand[first + size - 1] = True
@@ -230,24 +249,18 @@ def _shared(hot_from: int):
     def meet(held: list[tuple]) -> pa.RecordBatch:
         symbol, doc, own, met, first, size = _meet(*_read(held, {4: "<u8", 2: "<i8", 3: "<i8"}))
         hot = met[first] & (size >= hot_from)
-        alone = [(None, n, s.tobytes()) for s, n in zip(symbol[first[hot]], size[hot].tolist(), strict=True)]
-        return _rows(_hits(doc[met], own[met], symbol[met]) + alone, _HITS)
+        return _batch((doc[met], own[met], symbol[met].astype(np.int64)), (size[hot], symbol[first[hot]].astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, passed = [], []
+        held = []
         for row in _in_turn(batches):
             if row[1]:
-                passed.append(_hit_of(row))
-                if len(passed) >= 1 << 10:
-                    yield _rows(passed, _HITS)
-                    passed = []
+                yield _hits_of(row)
                 continue
             if held and row[0] != held[0][0]:
                 yield meet(held)
                 held = []
             held.append(row)
-        if passed:
-            yield _rows(passed, _HITS)
         if held:
             yield meet(held)
 
@@ -301,13 +314,13 @@ class Stretches:
         spread = lambda c: np.repeat(c, size)
         self.add(spread(doc), spread(own), spread(symbol), spread(at.astype(np.int64)) + step, spread(np.cumsum(long) - long) + step, codes)
 
-    def settle(self) -> list[tuple]:
+    def settle(self) -> Hits:
         """Hits of the windows that a smaller document here has; only the others are kept."""
         if not len(self.doc):
-            return []
+            return self.doc, self.own, self.at
         name = sequence_hashes(mix(self.codes.astype(U64) + U64(1)), WINDOW)[self.words]
         hit = covered(self.symbol, name, self.doc, self.words, self.codes)
-        out = _hits(self.doc[hit], self.own[hit], self.at[hit])
+        out = _in_rows(self.doc[hit], self.own[hit], self.at[hit])
         for c in ("doc", "own", "symbol", "at", "words"):
             setattr(self, c, getattr(self, c)[~hit])
         used = np.zeros(len(self.codes) + 1, np.int64)
@@ -357,9 +370,9 @@ def _windows_out(ranges: int, hot):
             for batch in slices(whole, "text"):
                 p = Parsed(batch.column(3))
                 doc, own = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1))
-                shared = [np.frombuffer(b"".join(lists), "<u8") for lists in batch.column(2).to_pylist()]
+                shared, of = _lists(batch.column(2))
                 # (text, symbol) of windows looked up in those that are shared, by one mixed key.
-                key = np.sort(mix(np.concatenate(shared) ^ mix(np.repeat(np.arange(len(shared), dtype=U64), [len(s) for s in shared]))))
+                key = np.sort(mix(shared.astype(U64) ^ mix(of.astype(U64))))
                 mine = mix(p.symbol ^ mix(p.text.astype(U64)))
                 which = np.flatnonzero(key[np.minimum(np.searchsorted(key, mine), len(key) - 1)] == mine)
                 text = p.text[which]
@@ -380,11 +393,11 @@ def _repeats(most: int):
         held, waiting, part, n = Stretches(), [], None, 0
         for row in _in_turn(batches):
             if row[1]:
-                yield _rows([_hit_of(row)], _HITS)
+                yield _hits_of(row)
                 continue
             if waiting and (row[0] != part or n >= most):
                 held.read(waiting)
-                yield _rows(held.settle(), _HITS)
+                yield _batch(held.settle())
                 waiting, n = [], 0
             if row[0] != part:
                 held, part = Stretches(), row[0]
@@ -392,7 +405,7 @@ def _repeats(most: int):
             n += sum(row[6])
         if waiting:
             held.read(waiting)
-            yield _rows(held.settle(), _HITS)
+            yield _batch(held.settle())
 
     return run
 
@@ -400,6 +413,11 @@ def _repeats(most: int):
 # Texts --------------------------------------------------------------------------------------------------------------
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and the row of each."""
+    return np.asarray(column.flatten()), np.repeat(np.arange(len(column)), np.asarray(column.value_lengths()))
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of words, and the digest of all of them."""
     for whole in batches:
@@ -417,12 +435,14 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             removed, kept = [], []
-            for places, text in zip(batch.column(2).to_pylist(), texts_of(batch), strict=True):
+            places, of = _lists(batch.column(2))
+            cuts = np.searchsorted(of, np.arange(batch.num_rows + 1)).tolist()
+            for a, b, text in zip(cuts, cuts[1:], texts_of(batch), strict=False):
                 words = text.encode().split()
-                at = np.frombuffer(b"".join(places), "<u8").astype(np.int64)
+                at, n = places[a:b] & 0xFFFFFFFF, places[a:b] >> 32
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, at, 1)
-                np.add.at(edge, at + WINDOW, -1)
+                np.add.at(edge, at + n - 1 + WINDOW, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]).decode())
@@ -441,10 +461,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // 6
     ranges = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), words // 4 // RANGE + 1)
     by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
-    of_text = lambda hits: hits.groupBy("doc_id", "text_hash").agg(F.collect_list("hits").alias("hits"))
+    of_text = lambda hits: hits.groupBy("doc_id", "text_hash").agg(F.collect_list("hit").alias("hits"))
     met = table(by_part(rows.mapInArrow(_symbols_out(ranges), _SYMBOLS)).mapInArrow(_shared(HOT), _HITS))
-    top = met.where("doc_id IS NULL").orderBy(F.desc("text_hash"), "hits").limit(HOT_LIST).select("hits").collect()
-    hot = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in top), "<u8")))
+    top = met.where("doc_id IS NULL").orderBy(F.desc("text_hash"), "hit").limit(HOT_LIST).select("hit").collect()
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], np.int64).astype(U64)))
     found = rows.join(of_text(met.where("doc_id IS NOT NULL")), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     found = table(found.select("doc_id", "text_hash", "hits", "text"), compression="zstd")
     hits = table(by_part(found.mapInArrow(_windows_out(ranges, hot), _STRETCHES)).mapInArrow(_repeats(HELD), _HITS))
