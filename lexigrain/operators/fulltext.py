@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -46,20 +48,21 @@ def postings_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term")).select("term", "doc_id", "pos")
 
 
-def positions(postings: DataFrame, wanted: list[Column]) -> DataFrame:
-    """Documents in which terms meet the i-th condition at place p + i for some p, in one pass over the postings.
+def positions(postings: DataFrame, wanted: list[Column], distinct: bool = True) -> DataFrame:
+    """Documents (once each, if ``distinct``) in which terms meet the i-th condition at place p + i for some p, in one pass over the postings.
 
     A posting may stand for several places of the sequence; each gives a start, and a start at which all conditions
     are met is a hit.  Work grows with the postings of the wanted terms; no self-join is needed.
     """
     some = reduce(lambda a, b: a | b, wanted)
     found = postings.where(some)
+    once = lambda hits: hits.distinct() if distinct else hits
     if len(wanted) == 1:
-        return found.select("doc_id").distinct()
+        return once(found.select("doc_id"))
     places = F.array_compact(F.array(*(F.when(w, F.lit(i)) for i, w in enumerate(wanted))))
     starts = found.select("doc_id", "pos", F.explode(places).alias("i")).select("doc_id", (F.col("pos") - F.col("i")).alias("start"), "i")
     bits = starts.groupBy("doc_id", "start").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("met"))
-    return bits.where(F.col("met") == (1 << len(wanted)) - 1).select("doc_id").distinct()
+    return once(bits.where(F.col("met") == (1 << len(wanted)) - 1).select("doc_id"))
 
 
 def docset(postings: DataFrame, query: Query) -> DataFrame:
@@ -114,10 +117,14 @@ class FtsSession:
     def count(self, query: Query) -> int:
         return self.search(query).count()
 
-    def count_and_docs(self, query: Query) -> tuple[int, DataFrame]:
-        """Both results from one search, which is kept in memory for the second."""
+    @contextmanager
+    def count_and_docs(self, query: Query) -> Iterator[tuple[int, DataFrame]]:
+        """Both results from one search, which is kept for the second until the block ends."""
         hits = self.search(query).persist()
-        return hits.count(), hits
+        try:
+            yield hits.count(), hits
+        finally:
+            hits.unpersist()
 
     def histogram(self, words: list[str]) -> DataFrame:
         """Documents by word, for words that occur."""

@@ -15,6 +15,13 @@ from lexigrain.sources.index import IndexedTable
 SCAN_SHARE = 0.0004
 #: Identifiers that are sent as a list of literals at most, and hits that are broadcast at most.
 LIST_IDS, BROADCAST_HITS = 1000, 1_000_000
+#: Documents of a pattern's terms up to which its postings are read by one task.
+FEW_HITS = 200_000
+#: Terms of the dictionary that may stand for one token of a pattern at most; with more, the pattern is scanned for.
+LOOKUP_TERMS = 1000
+#: Tokens of a run that are looked up at most, as a start is kept in the bits of a number; the text itself is compared
+#: with the whole pattern after that.
+RUN_TOKENS = 62
 
 
 def _condition(token: str, how: str) -> Column:
@@ -22,19 +29,45 @@ def _condition(token: str, how: str) -> Column:
     return {"exact": term == token, "prefix": term.startswith(token), "suffix": term.endswith(token), "contains": term.contains(token)}[how]
 
 
-def candidates(postings: DataFrame, pattern: LikePattern) -> DataFrame | None:
-    """Documents that can match: a superset; None if the pattern has no tokens to look up."""
-    if not pattern.indexable():
-        return None
-    sets = [positions(postings, [_condition(*t) for t in tokens[:62]]) for run in pattern.runs if (tokens := run.tokens())]
-    return reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), sets)
+def _runs(pattern: LikePattern) -> list[list[tuple[str, str]]]:
+    return [tokens[:RUN_TOKENS] for run in pattern.runs if (tokens := run.tokens())]
+
 
+def look_up(table: IndexedTable, tokens: set[tuple[str, str]]) -> dict[tuple[str, str], list[tuple[str, int]]] | None:
+    """The dictionary's terms, with their numbers of documents, for each token; None if one has too many.
 
-def estimate(table: IndexedTable, pattern: LikePattern) -> int:
-    """Most documents that the rarest lookup of the pattern can give, from the term dictionary."""
-    wanted = {t for run in pattern.runs for t in run.tokens()}
-    sums = table.terms.agg(*(F.coalesce(F.sum(F.when(_condition(*t), F.col("df"))), F.lit(0)) for t in sorted(wanted))).first()
-    return min(sums)
+    Exact tokens reach the sorted dictionary's row groups.  An index is written once, so what was found is kept.
+    """
+    found = table.looked_up
+    for how in ("exact", "other"):
+        new = sorted(t for t in tokens if t not in found and (t[1] == "exact") == (how == "exact"))
+        if not new:
+            continue
+        flags = [F.when(_condition(*t), F.lit(i)) for i, t in enumerate(new)]
+        rows = table.terms.where(reduce(lambda a, b: a | b, (_condition(*t) for t in new)))
+        limit = LOOKUP_TERMS * len(new)
+        rows = rows.select("term", "df", F.array_compact(F.array(*flags)).alias("of")).limit(limit + 1).collect()
+        if len(rows) > limit:
+            return None
+        found |= {t: [(r["term"], r["df"]) for r in rows if i in r["of"]] for i, t in enumerate(new)}
+    return {t: found[t] for t in tokens}
+
+
+def candidates(table: IndexedTable, pattern: LikePattern) -> tuple[DataFrame | None, int | None]:
+    """Documents that can match, a superset that may repeat, and a bound of their number; (None, None) if the index
+    can't tell, and (None, 0) if a token is in no document."""
+    if not pattern.indexable():
+        return None, None
+    found = look_up(table, {t for run in _runs(pattern) for t in run})
+    if found is None:
+        return None, None
+    most = min(sum(df for _, df in terms) for terms in found.values())
+    if not most:
+        return None, 0
+    # Few postings are counted where they are read, in one task.
+    postings = table.postings.coalesce(1) if max(sum(df for _, df in terms) for terms in found.values()) <= FEW_HITS else table.postings
+    sets = [positions(postings, [F.col("term").isin([term for term, _ in found[t]]) for t in tokens]) for tokens in _runs(pattern)]
+    return reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), sets), most
 
 
 def restrict(docs: DataFrame, hits: DataFrame, id_col: str, n: int | None = None) -> DataFrame:
@@ -53,30 +86,60 @@ def id_in(docs: DataFrame, id_col: str, ids: list[int]) -> DataFrame:
     return restrict(docs, wanted, id_col, len(ids))
 
 
+def _narrowed(table: IndexedTable, patterns: list[str], scan_share: float) -> DataFrame:
+    """The rows of ``table`` that the index can't rule out for any of the patterns."""
+    docs, m = table.docs, table.manifest
+    known = [found for p in patterns if (found := candidates(table, LikePattern.parse(p)))[1] is not None]
+    if any(most == 0 for _, most in known):
+        return docs.where(F.lit(False))
+    used = sorted(((hits, most) for hits, most in known if most <= scan_share * m.doc_count), key=lambda x: x[1])
+    if not used:
+        return docs
+    hits, most = reduce(lambda a, b: (a[0].join(b[0], "doc_id", "left_semi"), a[1]), used)
+    if most <= BROADCAST_HITS:
+        first = {r[0] for r in hits.limit(LIST_IDS + 1).collect()}
+        if len(first) <= LIST_IDS:  # a list of literals reaches the pages of the sorted rows
+            return docs.where(F.col(m.id_col).isin(sorted(first)))
+    return restrict(docs, hits, m.id_col, most)
+
+
 def like_indexed(table: IndexedTable, pattern: str, negated: bool = False, ignore_case: bool = False, scan_share: float = SCAN_SHARE, columns: list[str] | None = None) -> DataFrame:
     """``text LIKE pattern`` with SQL's meaning.
 
     The index serves positive, case-sensitive or not, patterns with tokens to look up that are rare enough; the
     condition is compared again on what it finds.  A term that no document has ends the query without a scan.
     """
-    docs, m = table.docs, table.manifest
-    text = F.col(m.text_col)
+    text = F.col(table.manifest.text_col)
     like = text.ilike(pattern) if ignore_case else text.like(pattern)
-    shown = lambda df: df.select(*columns) if columns else df
-    parsed = LikePattern.parse(pattern)
-    if negated:
-        return shown(docs.where(~like))
-    if not parsed.indexable():
-        return shown(docs.where(like))
-    most = estimate(table, parsed)
-    if most == 0:
-        return shown(docs.where(F.lit(False)))
-    if most > scan_share * m.doc_count:
-        return shown(docs.where(like))
-    return shown(restrict(docs, candidates(table.postings, parsed), m.id_col, most).where(like))
+    rows = table.docs.where(~like) if negated else _narrowed(table, [pattern], scan_share).where(like)
+    return rows.select(*columns) if columns else rows
+
+
+def where_indexed(table: IndexedTable, condition: str, scan_share: float = SCAN_SHARE, columns: list[str] | None = None) -> DataFrame:
+    """The rows that meet a SQL condition; its ``LIKE`` conjuncts on the indexed text go through the index.
+
+    Spark's own parser reads the condition.  Whatever is no positive LIKE joined by AND is left to the scan, and the
+    whole condition is compared with what is read; without any LIKE all rows are scanned.
+    """
+    session = table.spark._jsparkSession
+    patterns, nodes = [], [session.sessionState().sqlParser().parseExpression(condition)]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "And":
+            nodes += [node.left(), node.right()]
+        elif kind == "Like" and node.left().sql().strip("`") == table.manifest.text_col and node.right().getClass().getSimpleName() == "Literal":
+            if node.escapeChar() == "\\":
+                patterns.append(node.right().value().toString())
+    rows = _narrowed(table, patterns, scan_share).where(condition)
+    return rows.select(*columns) if columns else rows
 
 
 def phrase_match(table: IndexedTable, phrase: str) -> DataFrame:
     """Rows whose tokens hold the phrase's tokens at consecutive places."""
-    hits = table.session().search(Phrase.of(phrase))
-    return restrict(table.docs, hits, table.manifest.id_col)
+    words = Phrase.of(phrase).words
+    found = look_up(table, {(w, "exact") for w in words})
+    most = min((sum(df for _, df in terms) for terms in found.values()), default=0)
+    if not most:
+        return table.docs.where(F.lit(False))
+    return restrict(table.docs, table.session().search(Phrase(words)), table.manifest.id_col, most)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,14 @@ def _own_folder() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder, or under a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder under the cluster's shared checkpoint folder.
+
+    Where that is unset, a session on one machine takes a temporary folder; on a cluster, whose machines would each
+    have their own, that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/lexigrain-{uuid.uuid4().hex}"

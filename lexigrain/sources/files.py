@@ -32,6 +32,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have what is at ``path`` removed when the JVM ends."""
+    where, fs = _path(spark, path)
+    fs.deleteOnExit(where)
+
+
 def write_file(df: DataFrame, target: str, kind: str = "parquet", **options) -> str:
     """Write ``df`` as one file of that name; a task writes it in a folder beside it, and it is moved when whole."""
     spark, part = df.sparkSession, f"{target}.tmp"

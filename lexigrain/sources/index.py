@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from lexigrain import schemas
-from lexigrain.functions.text import TOKENIZER
+from lexigrain.functions.text import TOKENIZER, tokens
 from lexigrain.operators.fulltext import FtsSession, postings_of
 
 VERSION = 1
@@ -55,6 +55,11 @@ class Manifest:
         return found
 
 
+#: Rows in a file of the index and in a page of the table at most: files stay small enough to be summed as one value,
+#: and a list of identifiers reads few rows around each.
+FILE_ROWS, PAGE_ROWS = 20_000_000, 1000
+
+
 def _checksums(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """Name, bytes and CRC-32 of the index' data files, computed where they lie."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
@@ -66,15 +71,18 @@ def _checksums(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "title", with_docs: bool = True) -> IndexedTable:
-    """Write the table and its index.  One pass tokenises; the postings are sorted by a range shuffle on the term."""
+    """Write the table and its index; the postings are sorted by a range shuffle on the term.
+
+    Documents of each term are counted from each document's distinct terms, within tasks before they are shuffled.
+    """
     spark = docs.sparkSession
     if with_docs:
-        docs.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col).write.parquet(f"{path}/docs")
-        docs = spark.read.parquet(f"{path}/docs")
+        docs.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col).write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/docs")
+        docs = spark.read.schema(docs.schema).parquet(f"{path}/docs")
     postings = postings_of(docs, id_col, text_col)
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos").write.parquet(f"{path}/_index/postings")
-    written = spark.read.schema(schemas.POSTINGS).parquet(f"{path}/_index/postings")
-    terms = written.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    ordered = postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos")
+    ordered.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/_index/postings")
+    terms = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/_index/terms")
     manifest = Manifest(VERSION, TOKENIZER, id_col, text_col, docs.count(), tuple(_checksums(spark, path)))
     spark.createDataFrame([(manifest.to_json(),)], "value string").coalesce(1).write.text(f"{path}/_index/manifest")
@@ -98,6 +106,8 @@ def open_index(spark: SparkSession, path: str, verify: bool = False) -> IndexedT
 class IndexedTable:
     def __init__(self, spark: SparkSession, path: str, manifest: Manifest, docs: DataFrame | None = None) -> None:
         self.spark, self.path, self.manifest, self._docs = spark, path, manifest, docs
+        self.looked_up: dict = {}
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", 1000)  # lists of identifiers reach the pages
 
     @property
     def docs(self) -> DataFrame:

@@ -43,8 +43,8 @@ def test_golden_after_reopening(spark, tmp_path):
     for query, want in GOLDEN:
         assert ids(table.session().search(query)) == want
     assert table.postings.schema.simpleString() == schemas.POSTINGS.simpleString()
-    n, hits = table.session().count_and_docs(GOLDEN[0][0])
-    assert n == 1 and ids(table.session().resolve(hits, table.docs, "id"), "id") == {1}
+    with table.session().count_and_docs(GOLDEN[0][0]) as (n, hits):
+        assert n == 1 and ids(table.session().resolve(hits, table.docs, "id"), "id") == {1}
     assert spark.read.parquet(str(tmp_path / "t" / "docs")).count() == 5
     assert ids(rewrite.phrase_match(table, "Dairy, cow!"), "id") == {2, 3}
 
@@ -145,6 +145,33 @@ def test_scan_pushes_down_and_prunes(mixed):
     assert "StringContains(title,cow)" in plan
 
 
+CONDITIONS = [
+    ("title LIKE '%dairy cow%' AND id < 150", 1), ("id % 2 = 0 AND title LIKE '%cow%' AND title LIKE '%dairy%'", 2), ("title LIKE '%zebra%' AND id > 3", 1), ("id > 100", 0),
+    ("title LIKE '%cow%' OR id = 3", 0), ("title NOT LIKE '%cow%' AND title LIKE '%dairy%'", 1), ("lower(title) LIKE '%cow%' AND id > 0", 0), (r"title LIKE '%10\%%' AND title IS NOT NULL", 1),
+]
+
+
+@pytest.mark.parametrize(("condition", "through"), CONDITIONS)
+def test_conditions_through_the_index(mixed, monkeypatch, condition, through):
+    want = ids(mixed.docs.where(condition), "id")
+    asked = []
+    plain = rewrite.candidates
+    monkeypatch.setattr(rewrite, "candidates", lambda table, pattern: asked.append(pattern) or plain(table, pattern))
+    for share in (1.0, 0.0):
+        asked.clear()
+        assert ids(rewrite.where_indexed(mixed, condition, scan_share=share), "id") == want
+        assert len(asked) == through
+
+
+def test_long_lists_are_joined(mixed, monkeypatch):
+    monkeypatch.setattr(rewrite, "LIST_IDS", 2)
+    monkeypatch.setattr(rewrite, "FEW_HITS", 0)
+    assert ids(rewrite.like_indexed(mixed, "%cow%", scan_share=1.0), "id") == ids(mixed.docs.where("title LIKE '%cow%'"), "id")
+    monkeypatch.setattr(rewrite, "LOOKUP_TERMS", 0)
+    mixed.looked_up.clear()
+    assert ids(rewrite.like_indexed(mixed, "%cow%", scan_share=1.0), "id") == ids(mixed.docs.where("title LIKE '%cow%'"), "id")
+
+
 def test_id_lists(mixed):
     for n in (0, 3, 5000):
         assert rewrite.id_in(mixed.docs, "id", list(range(n))).count() == min(n, 200) + (5 if n == 5000 else 0)

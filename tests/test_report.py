@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexigrain.functions import text as X
@@ -80,7 +81,11 @@ def test_scratch_without_a_checkpoint_folder(spark):
 
     from lexigrain.session import scratch_dir
 
-    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default))
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master=master))
+    bare = session("local[8]")
     first, second = scratch_dir(bare), scratch_dir(bare)
     assert first != second and Path(first).parent == Path(second).parent and Path(first).parent.is_dir()
     assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]", "k8s://b"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch_dir(session(master))
