@@ -10,12 +10,10 @@ columns are kept, and an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrain.llm import common
-from lexigrain.llm.common import drop, load, table
+from lexigrain.llm.common import load, table
 from lexigrain.llm.exact_dedup import keep_first
 from lexigrain.llm.jaccard import keep_one
 from lexigrain.llm.mixing import repeat_rows
@@ -24,49 +22,28 @@ from lexigrain.llm.quality import good_documents
 from lexigrain.llm.tokens import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_spent: list[str] = []
 
 
-def _stage(f: Stage) -> Stage:
-    """A stage's result is written before the next one starts, so what it kept on the side can go then."""
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _spent:
-            drop(spark, _spent.pop())
-        before = len(common.made)
-        out = f(spark, docs, sf_dir)
-        _spent.extend(common.made[before:])
-        return out
-
-    return run_stage
-
-
-@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier finds good; it learns from ``labels`` and these documents."""
     return good_documents(docs, load(spark, sf_dir, "labels"))
 
 
-@_stage
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every text."""
     return keep_first(docs)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose shingle sets are linked at 0.8."""
     return keep_one(docs)
 
 
-@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's share of the mix takes them."""
     return repeat_rows(docs)
 
 
-@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids and their places in sequences."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
@@ -88,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir))
+        spark.sparkContext._jvm.System.gc()  # what only that stage read is then seen to be unread, and goes
     return STAGES[-1][1](spark, docs, sf_dir)

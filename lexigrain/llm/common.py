@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.session import scratch_dir
+from lexigrain.sources.files import remove, remove_at_exit
 
 #: ASCII white space as the query contracts define it; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,40 +19,51 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Scratch folders made in this process, oldest first.
-made: list[str] = []
-
-
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; where that is unset, under a temporary one."""
-    made.append(scratch_dir(spark))
-    return made[-1]
+    """A new folder under the cluster's shared checkpoint folder, for the caller to drop."""
+    return scratch_dir(spark)
 
 
 #: Spark's own clean-up of a statement's shuffle files when the statement ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Scratch tables and, as the JVM's weak reference, the relation that every plan over one holds.
+_watched: list[tuple] = []
 
 
 def table(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` once and read it back: later stages and lost executors start from the files.
 
-    Nothing reads the write's shuffles again, so Spark removes their files as soon as it has ended.
+    Nothing reads the write's shuffles again, so Spark removes their files as soon as it has ended.  A table without
+    a path of the caller's goes when no plan reads it any more, or at the JVM's end.
     """
     spark = df.sparkSession
-    path = path or scratch(spark)
+    where = path or scratch(spark)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        df.write.options(**options).parquet(where)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    remove_at_exit(spark, where)
+    read = spark.read.schema(df.schema).parquet(where)
+    if path is None:
+        drop_unread(spark)
+        relation = read._jdf.queryExecution().analyzed().relation()
+        _watched.append((spark.sparkContext._jvm.java.lang.ref.WeakReference(relation), where))
+    return read
+
+
+def drop_unread(spark: SparkSession) -> None:
+    """Remove scratch tables whose relation the JVM has collected: no plan, lazy or running, can read them."""
+    gone = [w for w in _watched if w[0].get() is None]
+    for w in gone:
+        _watched.remove(w)
+        drop(spark, w[1])
 
 
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder, wherever the shared file system is."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
