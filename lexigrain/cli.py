@@ -5,10 +5,11 @@ from __future__ import annotations
 import argparse
 from itertools import product
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.operators.report import compare, comparison_summary, comparison_table
-from lexigrain.operators.rewrite import like_indexed
+from lexigrain.operators.rewrite import id_in, like_indexed
 from lexigrain.session import get_session
 from lexigrain.sources import generate as g
 from lexigrain.sources.index import build_index, open_index
@@ -16,6 +17,11 @@ from lexigrain.sources.index import build_index, open_index
 PAIRS = [f"%{a} {b}%" for a, b in product(g.CONTROL_WORDS, repeat=2)]
 
 
+def chosen(df: DataFrame, id_col: str, ids: list[int]) -> DataFrame:
+    """The rows with the given numbers; an empty list means all."""
+    return id_in(df, id_col, ids) if ids else df
+
+
 def generate(args: argparse.Namespace) -> None:
     """The same rows with and without an index, and the documents of every control word."""
     spark = get_session()

@@ -43,3 +43,13 @@ def short_count(n: Column) -> Column:
 def signed_seconds(change: Column) -> Column:
     """Seconds saved as -1.50s, seconds lost as +1.50s; no change counts as lost."""
     return F.concat(F.when(change < 0, "-").otherwise("+"), F.format_string("%.2fs", F.abs(change)))
+
+
+def whole_batches(n: Column, size: int) -> Column:
+    """How many batches of a size n rows make, the last one short."""
+    return F.ceil(n / size).cast("long")
+
+
+def name_of(code: Column, names: list[str]) -> Column:
+    """The name of a code that counts from 0; NULL for any other."""
+    return F.get(F.array(*map(F.lit, names)), code.cast("int"))

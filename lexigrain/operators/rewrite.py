@@ -76,6 +76,11 @@ def restrict(docs: DataFrame, hits: DataFrame, id_col: str, n: int | None = None
     return docs.join(F.broadcast(hits) if n is not None and n <= BROADCAST_HITS else hits, id_col, "left_semi")
 
 
+def some(docs: DataFrame, n: int) -> DataFrame:
+    """Any n rows; partitions stop reading when they have as many."""
+    return docs.limit(n)
+
+
 def id_in(docs: DataFrame, id_col: str, ids: list[int]) -> DataFrame:
     """Rows of a list of identifiers: literals that reach the scan if few, a join otherwise; none for an empty list."""
     if not ids:

@@ -8,34 +8,19 @@ from pyspark.sql import functions as F
 from lexigrain.functions import text as X
 from lexigrain.operators import nested, report, rewrite
 from lexigrain.operators.fulltext import Bool, FtsSession, Phrase, Term, postings_of
-from lexigrain.session import describe_session, scratch_dir
+from lexigrain.plans import reports, storage  # noqa: F401  (their queries register themselves)
+from lexigrain.plans.catalog import ORACLE_SQL, QUERIES, query  # noqa: F401
+from lexigrain.plans.catalog import read as _t
+from lexigrain.session import scratch_dir
 from lexigrain.sources import generate as g
-from lexigrain.sources import literal
+from lexigrain.sources.files import remove_at_exit
 from lexigrain.sources.index import IndexedTable, build_index, open_index
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def _index(spark: SparkSession, sf_dir: str, name: str, id_col: str, text_col: str) -> IndexedTable:
     path = scratch_dir(spark)
-    build_index(_t(spark, sf_dir, name).select(id_col, text_col), path, id_col, text_col)
+    build_index(_t(spark, sf_dir, name), path, id_col, text_col)
+    remove_at_exit(spark, path)
     return open_index(spark, path)
 
 
@@ -46,11 +31,6 @@ def _postings(spark: SparkSession, sf_dir: str) -> FtsSession:
 # Sources ------------------------------------------------------------------------------------------------------------
 
 
-@query()
-def session_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(sorted(describe_session(spark).items()), "name string, value string")
-
-
 @query("SELECT count(*) AS n FROM part")
 def count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").agg(F.count("*").alias("n"))
@@ -61,19 +41,6 @@ def query_file_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT p_partkey, p_name FROM parquet.`{sf_dir}/part.parquet` WHERE p_size > 40")
 
 
-@query()
-def literal_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal.docs(spark)
-
-
-@query()
-def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Build, reopen with checksums compared, and list the index' files."""
-    path = scratch_dir(spark)
-    build_index(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), path, "p_partkey", "p_name")
-    return spark.createDataFrame(list(open_index(spark, path, verify=True).manifest.files), "file string, bytes long, crc32 long")
-
-
 # LIKE and identifiers -----------------------------------------------------------------------------------------------
 
 _PART = "p_partkey, p_name"
@@ -88,19 +55,19 @@ def like_contains_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {_PART} FROM part WHERE p_name LIKE '%small ring%'")
 def like_indexed_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _index(spark, sf_dir, "part", "p_partkey", "p_name")
-    return rewrite.like_indexed(table, "%small ring%", scan_share=1.0)
+    return rewrite.like_indexed(table, "%small ring%", scan_share=1.0, columns=["p_partkey", "p_name"])
 
 
 @query("SELECT doc_id, text FROM documents WHERE text LIKE '%of the%'")
 def like_indexed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _index(spark, sf_dir, "documents", "doc_id", "text")
-    return rewrite.like_indexed(table, "%of the%", scan_share=1.0)
+    return rewrite.like_indexed(table, "%of the%", scan_share=1.0, columns=["doc_id", "text"])
 
 
 @query("SELECT doc_id, text FROM documents WHERE text LIKE '%tion. T%the_of%'")
 def like_indexed_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _index(spark, sf_dir, "documents", "doc_id", "text")
-    return rewrite.like_indexed(table, "%tion. T%the_of%", scan_share=1.0)
+    return rewrite.like_indexed(table, "%tion. T%the_of%", scan_share=1.0, columns=["doc_id", "text"])
 
 
 @query("SELECT doc_id FROM documents WHERE text LIKE '%of the%'")
@@ -124,8 +91,21 @@ def ilike_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE text LIKE '%of the%' AND lang = 'en' AND doc_id > 100")
 def like_with_conjuncts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _t(spark, sf_dir, "documents")
-    return df.where(df.text.like("%of the%") & (df.lang == "en") & (df.doc_id > 100)).select("doc_id")
+    """One conjunct goes through the index, the others to the scan of what it leaves."""
+    table = _index(spark, sf_dir, "documents", "doc_id", "text")
+    return rewrite.where_indexed(table, "text LIKE '%of the%' AND lang = 'en' AND doc_id > 100", scan_share=1.0, columns=["doc_id"])
+
+
+@query("SELECT doc_id FROM documents WHERE text LIKE '%of the%' AND text LIKE '%that%' AND text NOT LIKE '%with%'")
+def like_two_conjuncts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both patterns narrow the rows down."""
+    table = _index(spark, sf_dir, "documents", "doc_id", "text")
+    return rewrite.where_indexed(table, "text LIKE '%of the%' AND text LIKE '%that%' AND text NOT LIKE '%with%'", scan_share=1.0, columns=["doc_id"])
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'de'")
+def where_without_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.where_indexed(_index(spark, sf_dir, "documents", "doc_id", "text"), "lang = 'de'", columns=["doc_id"])
 
 
 @query(f"SELECT {_PART} FROM part WHERE p_partkey IN (1, 5, 8, 13, 21, 34)")
@@ -173,7 +153,7 @@ def phrase_repeated_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TOKENS + f"SELECT doc_id, text FROM documents WHERE doc_id IN ({_phrase_sql('of', 'the')})")
 def phrase_match_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.phrase_match(_index(spark, sf_dir, "documents", "doc_id", "text"), "Of the")
+    return rewrite.phrase_match(_index(spark, sf_dir, "documents", "doc_id", "text"), "Of the").select("doc_id", "text")
 
 
 @query(_TOKENS + "SELECT DISTINCT doc_id FROM t WHERE term = 'that'")
@@ -211,10 +191,27 @@ def term_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _postings(spark, sf_dir).histogram(["the", "der", "les", "que"])
 
 
-@query(_TOKENS + "SELECT term, doc_id, CAST(pos - 1 AS INT) AS pos FROM t WHERE doc_id < 50")
+@query(_TOKENS + "SELECT term, doc_id, CAST(pos - 1 AS INT) AS pos FROM t")
 def token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _t(spark, sf_dir, "documents")
-    return postings_of(df.where("doc_id < 50"), "doc_id", "text")
+    return postings_of(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(_TOKENS + "SELECT DISTINCT doc_id, (SELECT count(DISTINCT doc_id) FROM t WHERE term = 'that') AS n FROM t WHERE term = 'that'")
+def count_and_docset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both collectors of one search: the number and, written while it is kept, the documents."""
+    path = scratch_dir(spark)
+    with _postings(spark, sf_dir).count_and_docs(Term("that")) as (n, hits):
+        hits.withColumn("n", F.lit(n).cast("long")).write.parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.parquet(path)
+
+
+@query(_TOKENS + "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM t WHERE term = 'der')")
+def resolve_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits to their rows; one that has no row drops out."""
+    session, docs = _postings(spark, sf_dir), _t(spark, sf_dir, "documents")
+    hits = session.search(Term("der")).union(spark.range(-1, 0).toDF("doc_id"))
+    return session.resolve(hits, docs, "doc_id").select("doc_id", "lang", "source")
 
 
 @query(_TOKENS + """, a AS (SELECT DISTINCT doc_id FROM t WHERE term = 'that'), b AS (SELECT DISTINCT doc_id FROM t WHERE term = 'with')
@@ -294,11 +291,6 @@ def list_size_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.size_distribution(_customers(spark, sf_dir), "orders")
 
 
-@query()
-def contacts_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten_outer(literal.contacts(spark), "phones", "name").orderBy(F.col("name").asc_nulls_last())
-
-
 # Aggregates and orders ----------------------------------------------------------------------------------------------
 
 
@@ -375,9 +367,18 @@ def distinct_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey * 1000 + coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS number FROM orders")
 def contiguous_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum((F.col("o_orderstatus") == "F").cast("long")).over(w), F.lit(0))
-    return _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 1000 + before).alias("number"))
+    number = g.count_up("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").cast("long"), F.col("o_custkey") * 1000)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", number.alias("number"))
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS numbers FROM orders GROUP BY o_custkey")
+def bounds_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.batch_bounds(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_name LIKE '%ring%'")
+def sorted_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").where(F.col("p_name").like("%ring%")).select("p_partkey").orderBy("p_partkey")
 
 
 # Scalar functions ---------------------------------------------------------------------------------------------------
@@ -404,27 +405,23 @@ def whitespace_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(X.split_whitespace(F.col("text"))).cast("long").alias("words"))
 
 
-@query()
-def crc32_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.crc32("text").alias("crc32"))
-
+_CRC_BITS = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
 
-# Generators ---------------------------------------------------------------------------------------------------------
 
-
-@query()
-def gen_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.titles(spark, 10_000, seed=12345)
+@query(f"""SELECT p_partkey, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(p_name, ''), lambda c: CAST(unicode(c) AS BIGINT))),
+    lambda a, b: {_CRC_BITS}), 4294967295) AS crc32 FROM part""")
+def crc32_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksum bit by bit in SQL, of texts that are ASCII."""
+    return _t(spark, sf_dir, "part").select("p_partkey", F.crc32("p_name").alias("crc32"))
 
 
-@query()
-def gen_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten_outer(g.contacts(spark, 10_000, batch_size=1024), "phones", "name")
+@query("SELECT p_partkey, p_brand || ' ' || p_name AS joined, CAST(ceil(p_partkey / 64) AS BIGINT) AS batches, p_partkey % 64 AS rest, least(64, greatest(0, 1000 - p_partkey)) AS room FROM part")
+def joins_and_batch_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words joined by spaces; whole batches, what is left over, and room that never goes below nothing."""
+    key = F.col("p_partkey")
+    return _t(spark, sf_dir, "part").select(key, F.concat_ws(" ", "p_brand", "p_name").alias("joined"), X.whole_batches(key, 64).alias("batches"), (key % 64).alias("rest"), F.least(F.lit(64), F.greatest(F.lit(0), 1000 - key)).alias("room"))
 
 
-@query()
-def write_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = g.PipelineConfig(10_000, 4, 1024, scratch_dir(spark), total_threads=8)
-    g.write_parallel(spark, config)
-    written = spark.read.parquet(f"{config.output_dir}/{config.output_filename}")
-    return written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Mobile' WHEN 1 THEN 'Work' WHEN 2 THEN 'Home' END AS kind FROM part")
+def code_to_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", X.name_of(F.col("p_size") % 4, list(g.PHONE_TYPES)).alias("kind"))

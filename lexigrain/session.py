@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+from pyspark.errors import SparkNoSuchElementException
 from pyspark.sql import SparkSession
 
 
@@ -22,7 +23,13 @@ def get_session(app: str = "lexigrain", **conf: str) -> SparkSession:
 def describe_session(spark: SparkSession) -> dict[str, str | None]:
     """Batch size, target partitions and time zone; None where a setting has no value."""
     keys = {"batch_size": "spark.sql.parquet.columnarReaderBatchSize", "target_partitions": "spark.sql.shuffle.partitions", "time_zone": "spark.sql.session.timeZone"}
-    return {name: spark.conf.get(key, None) for name, key in keys.items()}
+    def value(key: str) -> str | None:
+        try:
+            return spark.conf.get(key)  # the built-in one where none is set
+        except SparkNoSuchElementException:
+            return None
+
+    return {name: value(key) for name, key in keys.items()}
 
 
 @lru_cache(maxsize=1)

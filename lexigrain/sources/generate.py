@@ -70,7 +70,7 @@ def _name(key: Column, seed: int) -> Column:
     return F.when(uniform(key, seed, "named") < NAME_SHARE, full)
 
 
-def count_up(df: DataFrame, batch: str, order: str, amount: Column, base: Column) -> Column:
+def count_up(batch: str, order: str, amount: Column, base: Column) -> Column:
     """Contiguous numbers in each batch: ``base`` and the amounts of the rows before, in ``order``."""
     w = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return base + F.coalesce(F.sum(amount).over(w), F.lit(0))
@@ -95,7 +95,7 @@ def contacts_in_batches(spark: SparkSession, n: int, batch_size: int = 4096, see
     key = F.col("id") * batch_size + F.col("at")
     made = drafts.select("id", "at", _templates(key, seed).alias("kinds"))
     has = F.coalesce(F.size(F.filter("kinds", _has_number)), F.lit(0))
-    made = made.withColumn("first", count_up(made, "id", "at", has, F.col("id") * (batch_size * MAX_PHONES)))
+    made = made.withColumn("first", count_up("id", "at", has, F.col("id") * (batch_size * MAX_PHONES)))
     return made.select(F.col("id").alias("batch"), _name(key, seed).alias("name"), _phones(key, seed, F.col("kinds"), F.col("first")).alias("phones"))
 
 
