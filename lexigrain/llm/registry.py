@@ -15,10 +15,12 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_media": media.op10_media,
+    "sharding_small_limit": sharding.sharding_small_limit,
 }
 
 ORACLE_SQL = {
     "op1_sharding": sharding.OP1_SQL,
+    "sharding_small_limit": sharding.SMALL_LIMIT_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }

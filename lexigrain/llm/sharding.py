@@ -97,15 +97,29 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-OP1_SQL = f"""
+#: A limit at which small tables split often.
+SMALL_SHARD_BYTES = 64 << 10
+
+
+def sharding_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same directory with a small limit, so that it is deep on a small table as well."""
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), SMALL_SHARD_BYTES)
+
+
+def sharding_sql(limit: int) -> str:
+    """The shard of each document over all bits of the hash; identifiers that differ need no second one."""
+    return f"""
 WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS hash FROM documents),
-l AS (SELECT d.*, CAST(r.range AS INT) AS depth, hash >> CAST(60 - r.range AS INT) AS prefix FROM d, range(0, 25) r),
+l AS (SELECT d.*, CAST(r.range AS INT) AS depth, hash >> CAST({HASH_BITS} - r.range AS INT) AS prefix FROM d, range(0, {HASH_BITS + 1}) r),
 s AS (SELECT depth, prefix, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM l GROUP BY ALL),
 f AS (SELECT doc_id, bytes, l.depth, prefix, shard_bytes, shard_rows,
              row_number() OVER (PARTITION BY doc_id ORDER BY l.depth) AS n
-      FROM l JOIN s USING (depth, prefix) WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1)
+      FROM l JOIN s USING (depth, prefix) WHERE shard_bytes <= {limit} OR shard_rows = 1)
 SELECT doc_id, bytes, CASE depth WHEN 0 THEN '' ELSE right(bin(prefix + (1::BIGINT << 61)), depth) END AS shard,
        depth, shard_bytes, shard_rows
 FROM f WHERE n = 1
 """
+
+
+OP1_SQL, SMALL_LIMIT_SQL = sharding_sql(SHARD_BYTES), sharding_sql(SMALL_SHARD_BYTES)

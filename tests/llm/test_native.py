@@ -48,6 +48,13 @@ def test_shards_fit(documents, limit):
     check_shards(rows, limit)
 
 
+def test_small_limit_splits_deep(spark):
+    """The query that is held against SQL has many shards, on several levels."""
+    rows = sharding.sharding_small_limit(spark, "/root/testdata/sf0.01").collect()
+    assert len(check_shards(rows, sharding.SMALL_SHARD_BYTES)) > 36 and max(r.depth for r in rows) > 5
+    same_as_sql(sharding.sharding_small_limit(spark, "/root/testdata/sf0.01"), sharding.SMALL_LIMIT_SQL, "/root/testdata/sf0.01")
+
+
 def test_only_oversized_buckets_split(documents):
     rows = sharding.shard(documents, 20_000).collect()
     for bits, own in check_shards(rows, 20_000).items():
