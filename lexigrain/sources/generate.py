@@ -156,13 +156,6 @@ class PipelineConfig:
 Generator = Callable[[SparkSession, int, int], DataFrame]
 
 
-def _keys(spark: SparkSession, n: int) -> list[int]:
-    """For each of n partitions a number that repartition(n) deals to it, so that every file has a task of its own."""
-    found = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("key")).collect()
-    keys = dict(map(tuple, found))
-    return [keys.get(i, i) for i in range(n)]
-
-
 def write_parallel(spark: SparkSession, config: PipelineConfig, generator: Generator = contacts_in_batches) -> dict[str, float]:
     """Write the files ``{output_filename}_{i}.parquet`` of ``output_dir``, and measure.
 
@@ -177,8 +170,7 @@ def write_parallel(spark: SparkSession, config: PipelineConfig, generator: Gener
         raise PipelineConfigError(f"the generator's schema {rows.schema.simpleString()} isn't batch and {config.schema.simpleString()}")
     n = config.num_writers
     file = F.pmod("batch", F.lit(n)).cast("int")
-    key = F.element_at(F.array(*map(F.lit, _keys(spark, n))), file + 1)
-    dealt = rows.withColumns({"_file": file, "_key": key.cast("long")}).repartition(n, "_key").drop("_key", "batch")
+    dealt = rows.withColumn("_file", file).repartitionById(n, "_file").drop("batch")
     folder = f"{config.output_dir}/.{config.output_filename}"
     dealt.write.partitionBy("_file").mode("overwrite").parquet(folder)
     size = 0
