@@ -32,8 +32,11 @@ MAGIC = b"LGV1"
 BLOCK_IDS = 1 << 18
 #: Words that a worker remembers here; more than elsewhere, as spaces make words differ.
 CACHE_WORDS = 800_000
-#: Identifiers in a range of documents that is sorted by one task.
-RANGE_IDS = 8_000_000
+#: Ids in a range of documents, which one task sorts and writes block by block, and ranges at most; from then on they
+#: grow.  Borders are places in the order of documents, as a sample of SAMPLE documents a range has them.
+RANGE_IDS, MAX_RANGES, SAMPLE = 8_000_000, 1 << 14, 64
+#: Places in that order: null identifiers last, and rows of one identifier in scan order.
+_PLACE = np.dtype([("none", "i1"), ("doc_id", "<i8"), ("row", "<i8")])
 #: Bytes of the four ranks that a control byte describes.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
@@ -125,6 +128,26 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array(total[have])], names=["id", "n"])
 
 
+def _places(doc_id: pa.Array, row: pa.Array) -> np.ndarray:
+    out = np.zeros(len(doc_id), _PLACE)
+    out["none"], out["doc_id"], out["row"] = pc.is_null(doc_id), pc.fill_null(doc_id, 0), row
+    return out
+
+
+def _borders(rows: DataFrame, ranges: int) -> np.ndarray:
+    """Where ranges of about as many documents begin; any borders give the same files' order.
+
+    The driver sees SAMPLE places for each of MAX_RANGES ranges at most.
+    """
+    n = rows.count()
+    if ranges < 2 or not n:
+        return np.zeros(0, _PLACE)
+    share = min(1.0, SAMPLE * ranges / n)
+    sample = rows.where(F.pmod(F.xxhash64("row", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "row").toArrow()
+    places = np.sort(_places(sample.column(0).combine_chunks(), sample.column(1).combine_chunks())) if sample.num_rows else np.zeros(0, _PLACE)
+    return np.unique(places[np.arange(1, ranges) * len(places) // ranges]) if len(places) else places
+
+
 def _encode(rank_of: np.ndarray, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -132,10 +155,8 @@ def _encode(rank_of: np.ndarray, bounds: np.ndarray):
                 n = batch.column(2).to_pylist()
                 ids = [_wide(b, k) for b, k in zip(batch.column(3).to_pylist(), n, strict=True)]
                 controls, datas = encode_ranks(rank_of[np.concatenate(ids)], np.array(n, np.int64))
-                key = batch.column(0)
-                part = np.searchsorted(bounds, np.asarray(pc.fill_null(key, 0)), "left")
-                part = np.where(np.asarray(pc.is_null(key)), len(bounds), part)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), key, *batch.columns[1:3], pa.array(controls, pa.binary()), pa.array(datas, pa.binary())], names=["part", "doc_id", "row", "n_tokens", "control", "data"])
+                part = np.searchsorted(bounds, _places(batch.column(0), batch.column(1)), "right")
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), *batch.columns[1:3], pa.array(controls, pa.binary()), pa.array(datas, pa.binary())], names=["part", "doc_id", "row", "n_tokens", "control", "data"])
 
     return run
 
@@ -174,11 +195,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
     spark.createDataFrame(list(enumerate(id_of.tolist())), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     raw = raw.where("counts IS NULL").drop("counts")
-    parts = max(1, -(-int(counted["n"].sum()) // RANGE_IDS))
-    bounds = raw.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    bounds = np.unique(np.array(bounds, np.int64))
+    bounds = _borders(raw, min(MAX_RANGES, -(-int(counted["n"].sum()) // RANGE_IDS)))
     coded = raw.mapInArrow(_encode(rank_of, bounds), "part int, doc_id long, row long, n_tokens long, control binary, data binary")
-    ordered = coded.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "row")
+    ordered = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "row")
     blocks = ordered.mapInArrow(_blocks, "part int, block long, n_ids long, doc_ids array<long>, content binary")
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
     drop(spark, raw_path)
@@ -208,13 +227,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     n = sums.agg(F.sum("blocks")).first()[0] or 0
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("within"))
-    first = first.join(F.broadcast(sums.select("part", "before")), "part").select("part", "block", (F.col("before") + F.col("within")).alias("first"))
+    first = first.join(F.broadcast(sums.select("part", "before")), "part")  # a row per range
+    first = first.select("part", "block", (F.col("before") + F.col("within")).alias("first"))
     placed = blocks.select("part", "block", "doc_ids", "content").join(small(first, n), ["part", "block"])
     return placed.select("first", "doc_ids", "content").mapInArrow(_decode(id_of), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def ranked_sums(sums: DataFrame) -> DataFrame:
-    """Ids before each range; there are as many rows as files' ranges, one per RANGE_IDS ids."""
+    """Ids before each range; there are as many rows as files' ranges, MAX_RANGES + 1 at most, so they go in one task."""
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return sums.withColumn("before", F.coalesce(before, F.lit(0)))
 

@@ -84,11 +84,22 @@ def test_token_files(spark, documents, odd, encoders, monkeypatch, name):
     check_files(documents, encoders[name], 0, spark, name)
     monkeypatch.setattr(token_files, "RANGE_IDS", 20_000)
     check_files(documents, encoders[name], 0, spark, name)
+    monkeypatch.setattr(token_files, "MAX_RANGES", 5)
+    check_files(documents, encoders[name], 0, spark, name)
     path = check_files(odd, encoders[name], 0, spark, name)
     counts = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()
     assert [r["rank"] for r in counts] == list(range(len(counts)))
 
 
+def test_one_identifier_is_spread(spark, encoders, monkeypatch):
+    """Rows of one identifier, or of none, go to several ranges, in scan order."""
+    monkeypatch.setattr(token_files, "RANGE_IDS", 500)
+    df = spark.createDataFrame([(None if i % 3 else 7, f"text {i} of many words") for i in range(600)], "doc_id long, text string").coalesce(1)
+    path = check_files(df, encoders["byte_bpe_50k.json"], 0, spark, "byte_bpe_50k.json")
+    blocks = spark.read.parquet(f"{path}/blocks").collect()
+    assert len({r.part for r in blocks if None in r.doc_ids}) > 3 and len({r.part for r in blocks if 7 in r.doc_ids}) > 2
+
+
 def test_common_ids_take_one_byte(spark, documents):
     path = scratch(spark)
     token_files.write_token_files(documents, path, tokens.tokenizer_path("byte_bpe_50k.json"), 0)
