@@ -77,7 +77,7 @@ def fresh(df: DataFrame, name: str) -> str:
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written with a number of its own in each row, and the name of that column."""
     row = fresh(df, "_row")
-    return table(df.withColumn(row, F.monotonically_increasing_id())), row
+    return table(df.withColumn(row, F.monotonically_increasing_id()), compression="zstd"), row
 
 
 def small(side: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

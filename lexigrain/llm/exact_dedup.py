@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, numbered, scratch, table
+from .common import SPACE, drop, numbered, scratch, table
 
 #: Bits of the shared-digest bitmap at most (16 MB, broadcast): beyond it only more texts are compared.
 FILTER_BITS = 1 << 27
@@ -103,6 +103,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         collided = table(differ.select("digest"), f"{index.path}/collided")  # none as a rule; a distinct() would bind the join to one task per digest
     found = runs.join(compacted, "digest")
     columns = ["doc_id", "keep_id", "group_size", (F.col("seq") == F.col("keep_seq")).alias("kept"), "digest"]
+        for spent in ("hits", "stays"):
+            drop(spark, f"{index.path}/{spent}")
     if collided is None or collided.isEmpty():
         return found.select(*columns)
     # Different texts share a digest: their rows are grouped by the text, in runs of their own.

@@ -11,9 +11,10 @@ The document by shingle matrix is multiplied by its transpose in blocks, and onl
    their overlap and go on from k on; a longer list only ties its members together.
 5. Tied members form clusters; each cluster's shingle sets are multiplied in blocks of bounded size, sizes that
    can't reach 0.8 apart are skipped, and exact overlaps decide.  A block reports a spanning forest of its links.
+   Large clusters are connected through a block of each size first; what that leaves apart is then multiplied by all.
 
 No list, however long, is expanded into its pairs, and no link is lost: similar sets share a shingle list, so they
-are a pair or are tied, and either way they meet in a block.
+are a pair or are tied, and either way they meet in a block or are connected already.
 
 Defined cases: fewer than five words are one shingle, none are the empty set, which is linked with nothing; null
 texts are empty; repeated rows are copies; an empty table gives an empty result.
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, numbered, small, table
+from .common import BROADCAST_ROWS, drop, numbered, scratch, small, table
 from .components import components
 from .tokens import forget, slices
 from .wordhash import SECOND_FACTOR, U64, Words, mix, sequence_hashes
@@ -42,6 +43,8 @@ HOT, HOT_LIST = 16, 1 << 20
 LIST = 64
 #: Shingles, and documents, in a block at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 256
+#: Sets of a block from which on a shingle's products are dense; pairs of sparse ones that are added up at once.
+FEW, PAIRS = 32, 1 << 20
 #: Postings, and fingerprints, that a task holds before it hands them on; fingerprints in a range.
 FLUSH, RANGE = 1 << 19, 1 << 21
 
@@ -267,26 +270,46 @@ def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
 
+def _sparse(row: np.ndarray, column: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+    """Add the products of sparse columns: entries (owner, column index) of rows and of columns, sorted by index."""
+    many = np.bincount(column[1], minlength=int(at.max(initial=-1)) + 1) if len(column[1]) else np.zeros(0, np.int64)
+    first = np.cumsum(many) - many
+    times = many[row[1]] if len(many) else np.zeros(len(row[1]), np.int64)
+    ends = np.cumsum(times)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        pair = np.arange(a, min(a + PAIRS, int(ends[-1])))
+        entry = np.searchsorted(ends, pair, "right")
+        other = column[0][first[row[1][entry]] + pair - (ends[entry] - times[entry])]
+        out += np.bincount(row[0][entry] * out.shape[1] + other, minlength=out.size).reshape(out.shape)
+
+
 def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of row sets with column sets: a product of incidence matrices, in column blocks."""
+    """Sizes of all intersections of row sets with column sets: a product of sparse incidence matrices.
+
+    Shingles of one set alone drop out.  Those of few sets add up pair by pair; those of many are multiplied as
+    dense blocks, each exact in single precision, and blocks are summed as whole numbers.
+    """
+    n, out = len(rows), np.zeros((len(rows), len(columns)), np.int64)
     every = np.concatenate([*rows, *columns])
-    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(s) for s in (*rows, *columns)])
+    owner = np.repeat(np.arange(n + len(columns)), [len(s) for s in (*rows, *columns)])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
     new = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
     index = np.cumsum(new) - 1
-    shared = np.bincount(index)[index] > 1 if len(index) else np.zeros(0, bool)
-    owner, index = owner[shared], index[shared]
+    size = np.bincount(index)[index] if len(index) else np.zeros(0, np.int64)
+    few = (size > 1) & (size <= FEW)
+    at, own = index[few], owner[few]
+    _sparse((own[own < n], at[own < n]), (own[own >= n] - n, at[own >= n]), at, out)
+    owner, index = owner[size > FEW], index[size > FEW]
     index = np.unique(index, return_inverse=True)[1]
-    out = np.zeros((len(rows), len(columns)), np.float32)
-    step = max(256, (1 << 22) // max(1, len(rows) + len(columns)))
+    step = max(256, (1 << 22) // max(1, n + len(columns)))
     width = int(index.max(initial=-1)) + 1
     cuts = np.searchsorted(index, np.arange(0, width + step, step))
     for block, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        m = np.zeros((len(rows) + len(columns), min(step, width - block * step)), np.float32)
+        m = np.zeros((n + len(columns), min(step, width - block * step)), np.float32)
         m[owner[a:b], index[a:b] - block * step] = 1
-        out += m[: len(rows)] @ m[len(rows) :].T
-    return out.astype(np.int64)
+        out += (m[:n] @ m[n:].T).astype(np.int64)
+    return out
 
 
 def forest(links: np.ndarray) -> np.ndarray:
@@ -316,37 +339,92 @@ def _multiply(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"u": owner[own], "v": owner[label[own]]})
 
 
+_BLOCKS = "array<struct<a:int,p:int,b:int,q:int,side:int>>"
+
+
+def _block(a: Column, p: Column, b: Column, q: Column, side: int) -> Column:
+    return F.struct(a.alias("a"), p.alias("p"), b.alias("b"), q.alias("q"), F.lit(side).alias("side"))
+
+
+def _blocks(when: Column, n: Column, block) -> Column:
+    """block(0) to block(n - 1) where ``when`` holds."""
+    return F.when(when & (n > 0), F.transform(F.sequence(F.lit(0), n - 1), block)).otherwise(F.array()).cast(_BLOCKS)
+
+
+def _levels(members: DataFrame, name: str) -> DataFrame:
+    """Blocks that each level of a cluster is cut into."""
+    parts = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+    return table(members.groupBy("cluster", "level").agg(parts.alias(name)))
+
+
+def _beside(members: DataFrame, levels: DataFrame, name: str, steps: dict[int, str]) -> DataFrame:
+    """``members`` with the blocks of the levels that lie some steps away; 0 where there is none."""
+    for step, column in steps.items():
+        other = levels.select("cluster", (F.col("level") - step).alias("level"), F.col(name).alias(column))
+        members = members.join(other, ["cluster", "level"], "left").withColumn(column, F.coalesce(column, F.lit(0)))
+    return members
+
+
+def _multiplied(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links of the blocks of ``placed`` (cluster, owner, doc_id, text_hash, blocks)."""
+    placed = table(placed.where(F.size("blocks") > 0).select("cluster", "owner", "doc_id", "text_hash", "blocks"))
+    n = placed.agg(F.sum(F.size("blocks"))).first()[0]
+    if not n:
+        return docs.sparkSession.createDataFrame([], "u long, v long")
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
+    found = texts.join(small(placed, n, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
+    read = found.select("owner", "cluster", "blocks", "text").mapInArrow(_read_sets, f"owner long, cluster long, blocks {_BLOCKS}, shingles binary")
+    rows = read.select("owner", "cluster", F.explode("blocks").alias("k"), "shingles").select("cluster", "k.*", "owner", "shingles")
+    return table(rows.groupBy("cluster", "a", "p", "b", "q").applyInArrow(_multiply, "u long, v long"))
+
+
 def _exact_links(docs: DataFrame, reps: DataFrame, candidates: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Edges (u, v) between linked classes; candidates (u, v) and reps (owner, doc_id, text_hash, n)."""
-    spark = docs.sparkSession
+    """Edges (u, v) that connect linked classes; candidates (u, v) and reps (owner, doc_id, text_hash, n).
+
+    A small cluster is one block.  A large one is cut by size, as sizes whose ratio passes 1.25 can't be linked, and
+    levels into blocks.  First every block is multiplied by itself and by the first block of its level and of the one
+    below: copies of one text, however many, are connected by that.  Only members that are not in the cluster's
+    largest component then are multiplied by all that their size can be linked with; two members of that component
+    need no link of their own.
+    """
     members = components(candidates).select(F.col("node").alias("owner"), F.col("root").alias("cluster"))
     members = table(members.join(reps, "owner"))
     clusters = members.groupBy("cluster").agg(F.sum("n").alias("all"), F.count("*").alias("docs"))
     one = (F.col("all") <= BLOCK_SHINGLES) & (F.col("docs") <= BLOCK_DOCS)
-    # In a large cluster, sizes whose ratio passes 1.25 differ by more than one class.
     level = F.when(one, 0).otherwise(1 + F.floor(F.ln("n") / F.log(F.lit(1.2500001))).cast("int"))
     members = members.join(clusters, "cluster").withColumn("level", level).drop("all", "docs")
-    levels = members.groupBy("cluster", "level").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("parts"))
-    levels = table(levels)
+    levels = _levels(members, "parts")
     own = members.join(levels, ["cluster", "level"]).withColumn("part", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int"))
-    above = levels.select("cluster", (F.col("level") - 1).alias("level"), F.col("parts").alias("parts_above"))
-    below = levels.select("cluster", (F.col("level") + 1).alias("level"), F.col("parts").alias("parts_below"))
-    own = own.join(above, ["cluster", "level"], "left").join(below, ["cluster", "level"], "left")
-    other = lambda n: F.sequence(F.lit(0), n - 1)
-    same = F.transform(other(F.col("parts")), lambda q: F.struct(F.col("level").alias("a"), F.least("part", q).alias("p"), F.col("level").alias("b"), F.greatest("part", q).alias("q"), F.when(F.col("part") == q, 0).when(F.col("part") < q, 1).otherwise(2).alias("side")))
-    up = F.transform(other(F.col("parts_above")), lambda q: F.struct(F.col("level").alias("a"), F.col("part").alias("p"), (F.col("level") + 1).alias("b"), q.alias("q"), F.lit(1).alias("side")))
-    down = F.transform(other(F.col("parts_below")), lambda q: F.struct((F.col("level") - 1).alias("a"), q.alias("p"), F.col("level").alias("b"), F.col("part").alias("q"), F.lit(2).alias("side")))
-    none = F.array().cast("array<struct<a:int,p:int,b:int,q:int,side:int>>")
-    blocks = F.concat(same.cast("array<struct<a:int,p:int,b:int,q:int,side:int>>"), *(F.when((F.col("level") > 0) & x[1].isNotNull(), x[0].cast("array<struct<a:int,p:int,b:int,q:int,side:int>>")).otherwise(none) for x in ((up, F.col("parts_above")), (down, F.col("parts_below")))))
-    placed = table(own.select("cluster", "owner", "doc_id", "text_hash", blocks.alias("blocks")))
-    n = placed.agg(F.sum(F.size("blocks"))).first()[0]
-    if not n:
-        return spark.createDataFrame([], "u long, v long")
-    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
-    found = texts.join(small(placed, n, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
-    read = found.select("owner", "cluster", "blocks", "text").mapInArrow(_read_sets, "owner long, cluster long, blocks array<struct<a:int,p:int,b:int,q:int,side:int>>, shingles binary")
-    rows = read.select("owner", "cluster", F.explode("blocks").alias("k"), "shingles").select("cluster", "k.*", "owner", "shingles")
-    return rows.groupBy("cluster", "a", "p", "b", "q").applyInArrow(_multiply, "u long, v long")
+    own = table(own)
+    a, p, zero = F.col("level"), F.col("part"), F.lit(0)
+    lead, large = p == 0, a > 0
+    first = _beside(own, levels, "parts", {1: "above", -1: "below"})
+    with_self = F.array(_block(a, p, a, p, 0)).cast(_BLOCKS)
+    leads_own = _blocks(lead & large, F.col("parts") - 1, lambda q: _block(a, zero, a, q + 1, 1))
+    leads_above = _blocks(lead & large, F.col("above"), lambda q: _block(a, zero, a + 1, q, 1))
+    led_own = _blocks(~lead & large, F.lit(1), lambda _: _block(a, zero, a, p, 2))
+    led_below = _blocks(large & (F.col("below") > 0), F.lit(1), lambda _: _block(a - 1, zero, a, p, 2))
+    links = _multiplied(docs, first.withColumn("blocks", F.concat(with_self, leads_own, leads_above, led_own, led_below)), id_col, text_col)
+    if not own.where("level > 0").limit(1).count():
+        return links
+    roots = components(links).withColumnRenamed("node", "owner")
+    placed = table(own.where("level > 0").join(roots, "owner", "left").withColumn("root", F.coalesce("root", "owner")))
+    sizes = placed.groupBy("cluster", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+    rest = table(placed.join(largest, "cluster").where("root <> largest").drop("largest", "root", "part", "parts"))
+    rest_levels = _levels(rest, "others")
+    rest = rest.join(rest_levels, ["cluster", "level"]).withColumn("part", F.pmod(F.xxhash64("owner"), F.col("others")).cast("int"))
+    # Each side names the blocks of the other at its own level and at the two beside it.
+    rest = _beside(rest, levels, "parts", {0: "p0", 1: "p1", -1: "p2"})
+    every = _beside(placed.drop("root"), rest_levels, "others", {0: "p0", 1: "p1", -1: "p2"})
+    rows_of = lambda b: lambda q: _block(a, p, b, q, 1)
+    columns_of = lambda b: lambda q: _block(b, q, a, p, 2)
+    beside = (("p0", a), ("p1", a + 1), ("p2", a - 1))
+    of_rest = [_blocks(F.lit(True), F.col(c), rows_of(b)) for c, b in beside]
+    of_every = [_blocks(F.lit(True), F.col(c), columns_of(b)) for c, b in beside]
+    columns = ("cluster", "owner", "doc_id", "text_hash", "blocks")
+    both = rest.withColumn("blocks", F.concat(*of_rest)).select(*columns).union(every.withColumn("blocks", F.concat(*of_every)).select(*columns))
+    return links.union(_multiplied(docs, both, id_col, text_col))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,7 +435,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // 6 // RANGE + 1)  # a shingle every six characters or so
     hot = spark.sparkContext.broadcast(hot_shingles(docs, ranges, text_col))
     kind = base.schema["doc_id"].dataType.simpleString()
-    sets = table(base.mapInArrow(_sets_out(hot), f"doc_id {kind}, text_hash long, n long, digest1 long, digest2 long, prefix binary"))
+    wide = scratch(spark)
+    sets = table(base.mapInArrow(_sets_out(hot), f"doc_id {kind}, text_hash long, n long, digest1 long, digest2 long, prefix binary"), wide)
     digest = ["n", "digest1", "digest2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "text_hash")).alias("first")
     classes = sets.where("n > 0").groupBy(*digest).agg(first).withColumn("owner", F.monotonically_increasing_id())
@@ -369,12 +448,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = out.repartition("part").sortWithinPartitions("part").mapInArrow(_meet, "u long, v long, overlap long, need long")
     pairs = met.groupBy("u", "v").agg(F.sum("overlap").alias("overlap"), F.min("need").alias("need"))
     candidates = table(pairs.where("overlap >= need").select("u", "v"))
-    links = table(_exact_links(docs, classes.select("owner", "doc_id", "text_hash", "n"), candidates, id_col, text_col))
+    sets = table(sets.select("doc_id", *digest))
+    drop(spark, wide)
+    links = _exact_links(docs, classes.select("owner", "doc_id", "text_hash", "n"), candidates, id_col, text_col)
     roots = components(links).withColumnRenamed("node", "owner")
     named = table(classes.join(roots, "owner", "left").withColumn("root", F.coalesce("root", "owner")))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select(*digest, "component_id")
-    joined = sets.select("doc_id", *digest).join(named, digest, "left")
+    joined = sets.join(named, digest, "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

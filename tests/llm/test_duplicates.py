@@ -93,6 +93,32 @@ def test_components_equal_brute_force(spark, monkeypatch, limits):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), plain_components(rows))
 
 
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """A group of hundreds, another that shares its words but isn't linked, and blocks of a few."""
+    for name, value in {"HOT": 4, "LIST": 4, "BLOCK_DOCS": 6, "BLOCK_SHINGLES": 2000}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(2)
+    bases = [[f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)], [f"c{i}" for i in range(70)]]
+    bases += [bases[0][:30] + bases[1][30:], bases[0][:40] + bases[2][:30]]
+    rows = []
+    for i in range(300):
+        text = list(bases[0] if i % 2 else r.choice(bases))
+        for _ in range(r.choice([0, 1, 2])):
+            text[r.randrange(len(text))] = f"x{r.randrange(50)}"
+        rows.append((i, " ".join(text + [f"t{r.randrange(3)}"] * r.choice([0, 0, 1, 6, 20]))))
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), plain_components(rows))
+
+
+@pytest.mark.parametrize(("few", "pairs"), [(32, 1 << 20), (0, 1 << 20), (3, 5), (1000, 7)])
+def test_overlaps_are_intersections(monkeypatch, few, pairs):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 40, r.integers(0, 30)).astype(np.uint64)) for _ in range(12)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:7]]
+    assert jaccard.overlaps(sets[:7], sets[5:]).tolist() == want
+
+
 def test_documents_equal_brute_force(documents):
     check(documents, plain_components([(r.doc_id, r.text) for r in documents.collect()]))
 
