@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, drop, numbered, scratch, small, table
 from .components import components
-from .tokens import forget, slices
+from .tokens import forget, slices, tidy
 from .wordhash import SECOND_FACTOR, U64, Words, mix, sequence_hashes
 
 K = 5
@@ -149,8 +149,8 @@ def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hot_shingles(docs: DataFrame, ranges: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Sorted fingerprints of the hottest shingles and the level, log2 of their counts, of each."""
-    out = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_out(ranges), "part int, data binary")
-    hot = out.repartition("part").sortWithinPartitions("part").mapInArrow(_hot, "fingerprint long, n long")
+    out = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(_count_out(ranges)), "part int, data binary")
+    hot = out.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(_hot), "fingerprint long, n long")
     top = hot.orderBy(F.desc("n"), "fingerprint").limit(HOT_LIST).toPandas().sort_values("fingerprint")
     return top["fingerprint"].to_numpy(np.uint32), np.log2(np.maximum(top["n"].to_numpy(float), 1)).astype(np.uint8)
 
@@ -373,7 +373,7 @@ def _multiplied(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str)
         return docs.sparkSession.createDataFrame([], "u long, v long")
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
     found = texts.join(small(placed, n, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
-    read = found.select("owner", "cluster", "blocks", "text").mapInArrow(_read_sets, f"owner long, cluster long, blocks {_BLOCKS}, shingles binary")
+    read = found.select("owner", "cluster", "blocks", "text").mapInArrow(tidy(_read_sets), f"owner long, cluster long, blocks {_BLOCKS}, shingles binary")
     rows = read.select("owner", "cluster", F.explode("blocks").alias("k"), "shingles").select("cluster", "k.*", "owner", "shingles")
     return table(rows.groupBy("cluster", "a", "p", "b", "q").applyInArrow(_multiply, "u long, v long"))
 
@@ -436,7 +436,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = spark.sparkContext.broadcast(hot_shingles(docs, ranges, text_col))
     kind = base.schema["doc_id"].dataType.simpleString()
     wide = scratch(spark)
-    sets = table(base.mapInArrow(_sets_out(hot), f"doc_id {kind}, text_hash long, n long, digest1 long, digest2 long, prefix binary"), wide)
+    sets = table(base.mapInArrow(tidy(_sets_out(hot)), f"doc_id {kind}, text_hash long, n long, digest1 long, digest2 long, prefix binary"), wide)
     digest = ["n", "digest1", "digest2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "text_hash")).alias("first")
     classes = sets.where("n > 0").groupBy(*digest).agg(first).withColumn("owner", F.monotonically_increasing_id())
@@ -444,8 +444,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = sets.join(classes.select(*digest, F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "owner"), digest)
     posted = posted.where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     posted = posted.select("owner", "n", "prefix").dropDuplicates(["owner"])
-    out = posted.mapInArrow(_postings_out(ranges), "part int, shingles binary, owners binary, sizes binary")
-    met = out.repartition("part").sortWithinPartitions("part").mapInArrow(_meet, "u long, v long, overlap long, need long")
+    out = posted.mapInArrow(tidy(_postings_out(ranges)), "part int, shingles binary, owners binary, sizes binary")
+    met = out.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(_meet), "u long, v long, overlap long, need long")
     pairs = met.groupBy("u", "v").agg(F.sum("overlap").alias("overlap"), F.min("need").alias("need"))
     candidates = table(pairs.where("overlap >= need").select("u", "v"))
     sets = table(sets.select("doc_id", *digest))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import slices, texts_of
+from .tokens import slices, texts_of, tidy
 from .webp import decode_many, encode_many
 
 ROW, TILE_ROWS = 192, 64
@@ -102,14 +102,14 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, media of every row, written to a table."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return table(rows.mapInArrow(_store, f"doc_id {kind}, n_bytes long, media binary"))
+    return table(rows.mapInArrow(tidy(_store), f"doc_id {kind}, n_bytes long, media binary"))
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Payload, media and features of every media value, from its stored bytes."""
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_read), schema)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

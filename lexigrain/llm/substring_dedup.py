@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import forget, slices, texts_of
+from .tokens import forget, slices, texts_of, tidy
 from .wordhash import SECOND_FACTOR, U64, WORD_FACTOR, Words, mix, sequence_hashes
 
 WINDOW, ROUNDS = 13, 4
@@ -462,20 +462,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranges = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), words // 4 // RANGE + 1)
     by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
     of_text = lambda hits: hits.groupBy("doc_id", "text_hash").agg(F.collect_list("hit").alias("hits"))
-    met = table(by_part(rows.mapInArrow(_symbols_out(ranges), _SYMBOLS)).mapInArrow(_shared(HOT), _HITS))
+    met = table(by_part(rows.mapInArrow(tidy(_symbols_out(ranges)), _SYMBOLS)).mapInArrow(tidy(_shared(HOT)), _HITS))
     top = met.where("doc_id IS NULL").orderBy(F.desc("text_hash"), "hit").limit(HOT_LIST).select("hit").collect()
     hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], np.int64).astype(U64)))
     found = rows.join(of_text(met.where("doc_id IS NOT NULL")), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     found = table(found.select("doc_id", "text_hash", "hits", "text"), compression="zstd")
-    hits = table(by_part(found.mapInArrow(_windows_out(ranges, hot), _STRETCHES)).mapInArrow(_repeats(HELD), _HITS))
+    hits = table(by_part(found.mapInArrow(tidy(_windows_out(ranges, hot)), _STRETCHES)).mapInArrow(tidy(_repeats(HELD)), _HITS))
     lost = found.select("doc_id", "text_hash", "text").join(of_text(hits), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "hits", "text")
-    return lost.mapInArrow(_without, "doc_id long, text_hash long, n_removed long, kept string")
+    return lost.mapInArrow(tidy(_without), "doc_id long, text_hash long, n_removed long, kept string")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256."""
     lost = repeated_passages(docs, id_col, text_col).select("doc_id", "text_hash", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    every = _keyed(docs, id_col, text_col).mapInArrow(_whole, "doc_id long, text_hash long, n_words long, sha string")
+    every = _keyed(docs, id_col, text_col).mapInArrow(tidy(_whole), "doc_id long, text_hash long, n_words long, sha string")
     joined = every.join(table(lost), ["doc_id", "text_hash"], "left")
     return joined.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 

@@ -9,12 +9,14 @@ an added token (an end-of-text mark, say) is written out: the library gives it t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +160,26 @@ def forget() -> None:
     encoder.cache_clear()
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as the worker process lives on while other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """A function over a task's batches that gives its memory back at the end."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of ``column``, one row at least."""
     if not batch.num_rows:
