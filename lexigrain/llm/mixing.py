@@ -1,7 +1,7 @@
 """Mixing sources to target weights (DataFrame functions only).
 
 Rows get hash-random keys; within each source they are sorted by ranges of the key, and two-level prefix sums of
-the token counts (range totals, then rows within a range) say where the source's exact budget cuts.  A budget
+the token counts (totals of groups of ranges and of ranges, then rows within a range) say where the source's exact budget cuts.  A budget
 above the source's size takes whole epochs first and cuts in the last one.
 
 A source is cut into ranges of about RANGE_ROWS rows, so a source with a third of all rows is spread over as many
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, key60, numbered, ranked, small, table
 
 MAX_EPOCHS = 3
-RANGE_ROWS = 1024
+#: Rows in a range of a source, about, and bits of a range's number within its group: with 4096 ranges a group, the
+#: longest run of sums that one task sees is a 4,000,000th of a source's rows.
+RANGE_ROWS, GROUP_BITS = 1024, 12
 WEIGHTS = (1, 2, 3)
 
 
@@ -66,8 +68,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     rows = rows.withColumnRenamed("source", "_source").join(small(per, n), F.col("_source").eqNullSafe(F.col("source")))
     rows = rows.drop("_source").withColumn("_range", F.expr("shiftright(key, 60 - _bits)"))
     ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.select(F.col("source").alias("_source"), F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    # Sums before each range: before its group of ranges, and within that.
+    ranges = table(ranges.withColumn("_group", F.expr(f"shiftright(_range, {GROUP_BITS})")))
+    groups = ranges.groupBy("source", "_group").agg(F.sum("_sum").alias("_sum"))
+    groups = groups.select(F.col("source").alias("_source"), F.col("_group").alias("_in"), F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    ranges = ranges.join(groups, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_group") == F.col("_in"))).drop("_source")
+    before = F.col("_base") + F.coalesce(F.sum("_sum").over(Window.partitionBy("source", "_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col("source").alias("_source"), F.col("_range").alias("_of"), before.alias("_before"))
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_of")))
     order = Window.partitionBy("source", "_range").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     prior = F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))

@@ -2,13 +2,14 @@
 
 Every line is good or bad.  Its features are shares of character classes, lengths and repetition, of the line
 itself and of its two neighbours.  The model is fitted by maximum conditional likelihood on TRAIN_DOCS labelled
-documents at most, whose lines carry their document's label.  A document's score is the average of its lines'
+documents and TRAIN_BYTES of text at most, whose lines carry their document's label.  A document's score is the average of its lines'
 forward-backward marginals of "good", weighted by line length.
 
 Only rows whose crc32(identifier as text) mod 3 is not 1 are learnt from; labels, language, source and identifier
 are no inputs of a score.
 
-Defined cases: a null or blank text scores the share of good documents in the sample, 0.5 without a sample;
+Defined cases: of several texts with one identifier the one with the smallest hash is learnt from; a document with
+contradicting labels counts as bad; a null or blank text scores the share of good documents in the sample, 0.5 without a sample;
 repeated rows score alike; documents of any number of lines are scored whole; an empty table gives no scores.
 """
 
@@ -19,15 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load
-from .tokens import forget, slices
+from .tokens import forget, slices, tidy
 from .wordhash import U64, Words, mix
 
-#: Labelled documents that are learnt from, at most.
-TRAIN_DOCS = 4000
+#: Labelled documents that are learnt from, and bytes of their texts that the driver reads, at most.
+TRAIN_DOCS, TRAIN_BYTES = 4000, 64 << 20
 STEPS, RATE, PENALTY = 150, 0.1, 1e-4
 
 _LETTER, _UPPER, _DIGIT, _SPACE, _SOFT, _SYMBOL, _WIDE = range(7)
@@ -165,12 +166,16 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the ``most`` labelled documents with the smallest hash, of those that aren't held out."""
+    """Fit on the ``most`` labelled documents with the smallest hash, of those that aren't held out, in that order up
+    to TRAIN_BYTES of text."""
     chosen = labels.where(~held_out(F.col(id_col)) & F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_good"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_good", "text")
-    sample = sample.dropDuplicates(["_id"]).orderBy("_id").toArrow()
+    once = sample.groupBy("_id", "_good").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    so_far = F.sum(size).over(Window.orderBy(F.xxhash64("_id"), "_id"))  # over TRAIN_DOCS rows at most
+    sample = once.withColumn("_bytes", so_far).where(F.col("_bytes") <= TRAIN_BYTES).drop("_bytes").orderBy("_id").toArrow()
     if not sample.num_rows:
         return Model(np.zeros(3 * OWN), np.zeros((2, 2)), 0.5)
     parts = [line_features(part.column("text")) for batch in sample.select(["text"]).to_batches() for part in slices(batch, "text")]
@@ -182,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: st
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scored(model), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_scored(model)), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
@@ -196,7 +201,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -
             for batch in slices(whole, text_col):
                 yield batch.filter(pa.array(score(model, batch.column(batch.schema.get_field_index(text_col))) >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema).select(*names)
+    return docs.mapInArrow(tidy(keep), docs.schema).select(*names)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

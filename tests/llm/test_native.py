@@ -105,6 +105,7 @@ def test_mix_takes_budgets(documents):
 def test_mix_many_ranges(spark, documents, monkeypatch):
     want = {r.doc_id: r.taken for r in mixing.mix(documents).collect()}
     monkeypatch.setattr(mixing, "RANGE_ROWS", 4)
+    monkeypatch.setattr(mixing, "GROUP_BITS", 2)
     assert {r.doc_id: r.taken for r in mixing.mix(documents).collect()} == want
 
 

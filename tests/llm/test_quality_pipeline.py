@@ -118,3 +118,62 @@ def test_pipeline_run(spark, stages, sf):
 
 def test_words_helper():
     assert np.diff(Words(pa.array([None, "a b"])).first).tolist() == [0, 2]
+
+
+def through(spark, docs, sf_dir):
+    """All stages, each on the last one's unwritten result, as a lazy composition."""
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
+
+
+@pytest.fixture
+def odd_folder(odd, spark, tmp_path):
+    """Tables of a folder of their own: the odd rows as documents, with labels for some."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(4, 1, 0), (8, 1, 0), (13, 0, 0), (16, 1, 0), (10, 0, 0), (None, 1, 0), (7, None, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_on_odd_rows(spark, odd, odd_folder):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns."""
+    docs, seen = odd, [odd]
+    for name, stage in corpus_pipeline.STAGES:
+        seen.append(table(stage(spark, docs, odd_folder)))
+        docs = seen[-1]
+        assert name == "packing" or docs.columns == odd.columns
+    rows = [Counter((r.doc_id, r.text) for r in d.collect()) for d in seen[:-1]]
+    assert all(set(later) <= set(before) for before, later in zip(rows, rows[1:], strict=False))
+    norm = lambda t: " ".join(__import__("re").split("[ \t-\r]+", t or ""))
+    assert len({norm(t) for _, t in rows[1]}) == sum(rows[2].values())
+    pieces = seen[-1].collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(d for (d, _), n in rows[4].items() for _ in range(n))
+    assert corpus_pipeline.run(spark, odd_folder).count() == len(pieces)
+
+
+def test_stages_on_empty_tables(spark, empty, odd_folder):
+    assert through(spark, empty, odd_folder).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, odd_folder).count() == 0
+
+
+def test_results_outlive_other_runs(spark, odd, odd_folder):
+    """Lazy results read scratch that no later run may take away."""
+    first = through(spark, odd, odd_folder)
+    second = corpus_pipeline.run(spark, odd_folder)
+    spark.sparkContext._jvm.System.gc()
+    third = corpus_pipeline.run(spark, odd_folder)
+    counts = {r.doc_id for r in first.collect()}
+    assert counts == {r.doc_id for r in second.collect()} == {r.doc_id for r in third.collect()}
+
+
+def test_training_is_bounded_and_repeatable(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "good words here\n" * (i % 5 + 1) if i % 2 else "BAD!! 99 ##\n" * (i % 4 + 1)) for i in range(60)] + [(3, "another text of an identifier")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(5, 0, 0)], "doc_id long, quality int, toxic int")
+    a, b = quality.train(docs.repartition(5), labels), quality.train(docs.repartition(2), labels.repartition(3))
+    assert np.allclose(a.weights, b.weights) and a.prior == b.prior
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 100)
+    assert not np.allclose(quality.train(docs, labels).weights, a.weights)
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 0)
+    assert quality.train(docs, labels).prior == 0.5
