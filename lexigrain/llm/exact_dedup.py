@@ -1,8 +1,10 @@
 """Exact duplicates by a log-structured merge index of digests (DataFrame functions only).
 
-* Memtable and flush: each scan task sorts its digests and flushes them as one Parquet run; the run's
-  row groups carry minimum, maximum and a Bloom filter of the digest, which point lookups consult.
-* Compaction: runs are merged by digest, keeping the smallest identifier and the number of rows.  Counts are
+* Memtable and flush: each scan task sorts its digests and flushes them as Parquet runs of MEMTABLE rows at most;
+  the run's row groups carry minimum, maximum and a Bloom filter of the digest, which point lookups consult.
+* Levels: FANOUT runs of a level are merged into one of the next, so that an index that grows batch by batch
+  rewrites a row once per level.
+* Compaction: all runs are merged by digest, keeping the smallest identifier and the number of rows.  Counts are
   summed before the shuffle, so a text that fills a third of the corpus is one row per task there.
 * Byte verification: rows whose digest is shared are compared, byte by byte, with the row that stays.  A bitmap
   of the shared digests, of bounded size, keeps the texts of all other rows out of that shuffle.
@@ -15,12 +17,15 @@ the texts themselves.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, drop, numbered, scratch, table
 
+#: Rows in a run at most, as a memtable holds them, and runs of a level that are merged into one of the next.
+MEMTABLE, FANOUT = 1 << 22, 10
 #: Bits of the shared-digest bitmap at most (16 MB, broadcast): beyond it only more texts are compared.
 FILTER_BITS = 1 << 27
 PAGE_BITS = 1 << 15
@@ -37,34 +42,64 @@ def sha256(text: Column) -> Column:
 
 
 class LsmIndex:
-    """Sorted digest runs below one folder; flush any number of batches, then compact."""
+    """Sorted digest runs below one folder, by level; flush any number of batches, then compact.
+
+    A run's rows are (digest, doc_id, seq, n): a digest, the smallest identifier with it, that row's sequence number,
+    and the rows it stands for, which is one in a flushed run.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, digest: Digest = sha256) -> None:
-        self.spark, self.path, self.digest, self.runs = spark, path or scratch(spark), digest, 0
+        self.spark, self.path, self.digest, self.flushed = spark, path or scratch(spark), digest, 0
+        self.levels: list[list[str]] = []
 
     def _write(self, rows: DataFrame, name: str) -> DataFrame:
-        return table(rows, f"{self.path}/{name}", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "262144"})
+        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "262144"}
+        return table(rows.sortWithinPartitions("digest"), f"{self.path}/{name}", **filters, maxRecordsPerFile=str(MEMTABLE))
 
-    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Flush one sorted run per scan task; rows get sequence numbers that no other row of the index has."""
-        seq = F.monotonically_increasing_id() + F.lit(self.runs << 58)
-        rows = docs.select(F.col(id_col).alias("doc_id"), self.digest(normalised(F.col(text_col))).alias("digest"), seq.alias("seq"))
-        self.runs += 1
-        return self._write(rows.sortWithinPartitions("digest", "doc_id"), f"run={self.runs}")
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def _add(self, level: int, name: str) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(name)
+        if len(self.levels[level]) == FANOUT:
+            merged = f"level={level + 1}/after={self.flushed}"
+            self._write(_merged(self._rows(self.levels[level])), merged)
+            self.levels[level] = []
+            self._add(level + 1, merged)
+
+    def _rows(self, names: list[str]) -> DataFrame:
+        return reduce(DataFrame.union, (self._run(n) for n in names))
 
-    def level0(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/run=*")
+    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Flush sorted runs, one or more per scan task; rows get sequence numbers that no other row of the index has."""
+        seq = F.monotonically_increasing_id() + F.lit(self.flushed << 53)
+        rows = docs.select(self.digest(normalised(F.col(text_col))).alias("digest"), F.col(id_col).alias("doc_id"), seq.alias("seq"), F.lit(1).cast("long").alias("n"))
+        self.flushed += 1
+        name = f"level=0/run={self.flushed}"
+        rows = self._write(rows, name)
+        self._add(0, name)
+        return rows
+
+    def runs(self) -> DataFrame:
+        """The rows of all runs that no merge has taken in."""
+        return self._rows([n for level in self.levels for n in level])
 
     def compact(self) -> DataFrame:
-        """Merge all runs into one of distinct digests, sorted in every file."""
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "seq"))
-        merged = self.level0().groupBy("digest").agg(first.alias("first"), F.count("*").alias("group_size"))
-        merged = merged.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.seq").alias("keep_seq"), "group_size")
-        return self._write(merged.sortWithinPartitions("digest"), "compacted")
+        """Merge all runs into one of distinct digests, sorted in every file: digest, keep_id, keep_seq, group_size."""
+        merged = _merged(self.runs()).select("digest", F.col("doc_id").alias("keep_id"), F.col("seq").alias("keep_seq"), F.col("n").alias("group_size"))
+        return self._write(merged, f"compacted={self.flushed}")
 
     def lookup(self, digest_hex: str) -> DataFrame:
         """Rows of one digest, found through run minima, maxima and filters."""
-        return self.level0().where(F.col("digest") == F.unhex(F.lit(digest_hex)))
+        return self.runs().where(F.col("digest") == F.unhex(F.lit(digest_hex)))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_n"), "doc_id", "seq"))
+    merged = rows.groupBy("digest").agg(first.alias("first"), F.sum("n").alias("n"))
+    return merged.select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.seq").alias("seq"), "n")
 
 
 def _bitmap(keys: DataFrame, n: int) -> tuple[DataFrame, int]:

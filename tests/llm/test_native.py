@@ -158,6 +158,23 @@ def test_index_takes_batches(spark, odd, odd_rows):
     assert index.lookup(hashlib.sha256(text.encode()).hexdigest()).count() == 2
 
 
+def test_levels_merge(spark, odd, odd_rows, monkeypatch):
+    """Many small flushes: levels of at most two runs, and the same groups as at once."""
+    monkeypatch.setattr(exact_dedup, "FANOUT", 3)
+    monkeypatch.setattr(exact_dedup, "MEMTABLE", 2)
+    index = exact_dedup.LsmIndex(spark)
+    rows = odd.select("doc_id", "text").withColumn("k", F.pmod(F.xxhash64("doc_id", "text"), F.lit(11))).cache()
+    for k in range(11):
+        index.flush(rows.where(F.col("k") == k))
+    assert len(index.levels) > 2 and all(len(level) < 3 for level in index.levels)
+    want = plain_groups(odd_rows)
+    first = lambda ids: min((i for i in ids if i is not None), default=None)
+    merged = index.compact().collect()
+    assert Counter((r.keep_id, r.group_size) for r in merged) == Counter((first(ids), len(ids)) for ids in want.values())
+    assert len({r.keep_seq for r in merged}) == len(merged)
+    assert sum(r.n for r in index.lookup(hashlib.sha256(b"short text").hexdigest()).collect()) == 2
+
+
 # Personal data
 
 
