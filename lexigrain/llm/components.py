@@ -1,4 +1,8 @@
-"""Connected components of an edge table: contraction within tasks, and star contractions between them."""
+"""Connected components of an edge table: contraction within tasks, and star contractions between them.
+
+Defined cases: an edge from a node to itself is none, and neither is one without a node; repeated edges count once; a
+table without edges has no nodes.
+"""
 
 from __future__ import annotations
 

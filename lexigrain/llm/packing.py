@@ -13,7 +13,7 @@ The plan is a table of (length, first rank, copies, sequence, offset).  Executor
 with two-level counts, a length that holds a third of all pieces included, and look their place up.
 
 Defined cases: a null or empty text is the end id alone; longer texts are cut at the capacity; ties and repeated
-rows are pieces of their own; an empty table has no pieces.
+rows are pieces of their own; a null identifier stays null; an empty table has no pieces.
 """
 
 from __future__ import annotations
