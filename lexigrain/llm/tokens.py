@@ -39,12 +39,15 @@ _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Chunks that are cut here: printable ASCII and letters of Latin scripts, after no space, one space or a line break.
 _PLAIN = re.compile(f"[ \n]?[!-~{_LETTERS}]+")
+_LETTER_RUN = re.compile(f"[{_LETTERS}]+").fullmatch
 _BYTE_PIECE = re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|\n")
 _WORD_PIECE = re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^ \n0-9{_LETTERS}]+")
 #: The letters that byte-level models write for bytes: printable ones stand for themselves, others follow from 256 on.
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTER = {b: b for b in _SELF} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_SELF}))}
 
+_SPACE_LETTER, _BREAK_LETTER = chr(_BYTE_LETTER[0x20]), chr(_BYTE_LETTER[0x0A])
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -66,6 +69,25 @@ class _Ids(dict):
         return ids
 
 
+class _SpacedIds(dict):
+    """Ids of words after a space.  Most new ones are Latin letters, maybe before a mark, and need no search for pieces."""
+
+    def __init__(self, pieces: _Ids, compute) -> None:
+        super().__init__()
+        self.pieces, self.compute = pieces, compute
+
+    def __missing__(self, word: str) -> bytes:
+        mark = word[-1:] if word[-1:] in (".", ",") else ""
+        letters = word[:-1] if mark else word
+        if letters.isalpha() and (letters.isascii() or _LETTER_RUN(letters)):
+            ids = self.pieces[" " + letters] + self.pieces[mark] if mark else self.pieces[" " + letters]
+        else:
+            ids = self.compute(word)
+        if len(word) <= CACHE_CHARS:
+            self[word] = ids
+        return ids
+
+
 def _bytes(ids: list[int]) -> bytes:
     a = array("I", ids)
     if sys.byteorder == "big":
@@ -89,7 +111,8 @@ class CachedEncoder:
         self.model = self.tok.model
         self.drops_space, self.limit = drops_space, cache_words
         self.find = (_WORD_PIECE if drops_space else _BYTE_PIECE).findall
-        self.chunks, self.spaced, self.pieces = _Ids(self._chunk), _Ids(self._spaced), _Ids(self._piece)
+        self.chunks, self.pieces = _Ids(self._chunk), _Ids(self._piece)
+        self.spaced = _SpacedIds(self.pieces, self._spaced)
 
     def _cut(self, text: str) -> list[str]:
         if self.drops_space:
@@ -116,7 +139,12 @@ class CachedEncoder:
         return self.chunks[first] + b"".join(map(self.spaced.__getitem__, words))
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() or piece[0] in " \n":
+        if piece.isascii():
+            if piece[0] == " ":
+                piece = _SPACE_LETTER + piece[1:]
+            elif piece[0] == "\n":
+                piece = _BREAK_LETTER + piece[1:]
+        else:
             piece = piece.encode().decode("latin-1").translate(_BYTE_LETTER)
         return _bytes([t.id for t in self.model.tokenize(piece)])
 
