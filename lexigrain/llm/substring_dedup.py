@@ -10,8 +10,9 @@ symbols everywhere, without a dictionary.
   is a run, or holds no pair for certain, is a symbol of its own.
 * Sharing round (Spark): every window is represented by the longest symbol, of the highest round, that is inside it
   for certain.  Symbols that two documents have reveal where windows can repeat.
-* Verifying round (Spark): stretches of windows around a shared symbol meet by it, with codes of all their words.
-  Windows whose words agree one by one are equal; the one in the smallest document stays, all others are covered.
+* Verifying round (Spark): stretches of windows around a shared symbol meet by it, with 64-bit names of the windows
+  and 16-bit codes of all their words.  Windows whose names and words agree, one by one, are equal (80 bits tell those
+  apart that differ in a single word); the one in the smallest document stays, all others are covered.
 
 Both Spark rounds combine within a task first: of documents that meet there, two stand for a symbol and one for a
 window, so a passage in a third of all documents comes to its range once per flush.  Windows around one of the
@@ -45,8 +46,6 @@ RANGE, HELD = 1 << 20, 1 << 20
 HOT, HOT_LIST = 1 << 10, 1 << 16
 #: Windows in a stretch at most.
 STRETCH = 128
-#: Bytes of a word's code: 312 bits are compared for a window.
-CODE = 3
 LAST = np.iinfo(np.int64).max
 
 
@@ -118,7 +117,7 @@ class Parsed:
             todo = todo[~found]
 
     def codes(self) -> np.ndarray:
-        return (self.words.hash >> U64(64 - 8 * CODE)).astype(np.uint32)
+        return (self.words.hash >> U64(48)).astype(np.uint16)
 
 
 def _parts(names: np.ndarray, ranges: int) -> np.ndarray:
@@ -127,7 +126,7 @@ def _parts(names: np.ndarray, ranges: int) -> np.ndarray:
 
 #: What goes to ranges of names; rows marked direct are hits of one text that need no meeting.
 _SYMBOLS = "part int, direct boolean, docs binary, hashes binary, values binary"
-_STRETCHES = _SYMBOLS + ", places binary, sizes binary, codes binary"
+_STRETCHES = _SYMBOLS + ", places binary, sizes binary, names binary, codes binary"
 #: A hit of a text: a symbol, or places in a row as the first one and, in the upper half, their number.  In the sharing
 #: round a hit without a document is a hot symbol, with its number of entries.
 _HITS = "doc_id long, text_hash long, hit long"
@@ -291,37 +290,37 @@ def covered(symbol: np.ndarray, name: np.ndarray, doc: np.ndarray, words: np.nda
 
 
 class Stretches:
-    """Windows as stretches of consecutive ones: doc, own, symbol, place of the first, number, and all words' codes."""
+    """Windows, which go as stretches of consecutive ones: doc, own, symbol, name, place, and the codes of their words."""
+
+    COLUMNS = ("doc", "own", "symbol", "name", "at")
 
     def __init__(self) -> None:
         self.doc, self.own, self.at = (np.zeros(0, np.int64) for _ in range(3))
-        self.symbol, self.words, self.codes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.symbol, self.name = (np.zeros(0, U64) for _ in range(2))
+        self.words, self.codes = np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
-    def add(self, doc, own, symbol, at, words, codes) -> None:
+    def add(self, doc, own, symbol, name, at, words, codes) -> None:
         """More windows; ``words`` are their first words in ``codes``."""
         self.words = np.concatenate([self.words, words + len(self.codes)])
         self.codes = np.concatenate([self.codes, codes])
-        for name, more in (("doc", doc), ("own", own), ("symbol", symbol), ("at", at)):
-            setattr(self, name, np.concatenate([getattr(self, name), more]))
+        for column, more in zip(self.COLUMNS, (doc, own, symbol, name, at), strict=True):
+            setattr(self, column, np.concatenate([getattr(self, column), more]))
 
     def read(self, rows: list[tuple]) -> None:
-        doc, own, symbol, at, size = _read(rows, {2: "<i8", 3: "<i8", 4: "<u8", 5: "<u4", 6: "u1"})
-        raw = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, CODE).astype(np.uint32)
-        codes = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+        doc, own, symbol, at, size, name, codes = _read(rows, {2: "<i8", 3: "<i8", 4: "<u8", 5: "<u4", 6: "u1", 7: "<u8", 8: "<u2"})
         size = size.astype(np.int64)
         long = size + WINDOW - 1
         step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         spread = lambda c: np.repeat(c, size)
-        self.add(spread(doc), spread(own), spread(symbol), spread(at.astype(np.int64)) + step, spread(np.cumsum(long) - long) + step, codes)
+        self.add(spread(doc), spread(own), spread(symbol), name, spread(at.astype(np.int64)) + step, spread(np.cumsum(long) - long) + step, codes)
 
     def settle(self) -> Hits:
         """Hits of the windows that a smaller document here has; only the others are kept."""
         if not len(self.doc):
             return self.doc, self.own, self.at
-        name = sequence_hashes(mix(self.codes.astype(U64) + U64(1)), WINDOW)[self.words]
-        hit = covered(self.symbol, name, self.doc, self.words, self.codes)
+        hit = covered(self.symbol, self.name, self.doc, self.words, self.codes)
         out = _in_rows(self.doc[hit], self.own[hit], self.at[hit])
-        for c in ("doc", "own", "symbol", "at", "words"):
+        for c in (*self.COLUMNS, "words"):
             setattr(self, c, getattr(self, c)[~hit])
         used = np.zeros(len(self.codes) + 1, np.int64)
         np.add.at(used, self.words, 1)
@@ -344,16 +343,17 @@ class Stretches:
         new |= (np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))) % STRETCH == 0
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(new)))
-        name = mix(sequence_hashes(mix(self.codes.astype(U64) + U64(1)), WINDOW)[self.words[first]])
-        part = _parts(np.where(alone[first], name, self.symbol[first]), ranges)
+        part = _parts(np.where(alone[first], mix(self.name[first]), self.symbol[first]), ranges)
         order = np.argsort(part, kind="stable")
         first, size, part = first[order], size[order], part[order]
         long = size + WINDOW - 1
         ends = np.cumsum(long)
         every = np.repeat(self.words[first] - (ends - long), long) + np.arange(int(ends[-1]))
-        codes = self.codes[every].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :CODE]
+        codes = self.codes[every].astype("<u2")
+        last = np.cumsum(size)
+        name = self.name[np.repeat(first - (last - size), size) + np.arange(int(last[-1]))].astype("<u8")
         doc, own, symbol, at = self.doc[first], self.own[first], self.symbol[first], self.at[first].astype("<u4")
-        return [(r, False, doc[a:b].tobytes(), own[a:b].tobytes(), symbol[a:b].tobytes(), at[a:b].tobytes(), size[a:b].astype("u1").tobytes(), codes[ends[a] - long[a] : ends[b - 1]].tobytes()) for r, a, b in _cuts(part)]
+        return [(r, False, doc[a:b].tobytes(), own[a:b].tobytes(), symbol[a:b].tobytes(), at[a:b].tobytes(), size[a:b].astype("u1").tobytes(), name[last[a] - size[a] : last[b - 1]].tobytes(), codes[ends[a] - long[a] : ends[b - 1]].tobytes()) for r, a, b in _cuts(part)]
 
 
 def _windows_out(ranges: int, hot):
@@ -363,7 +363,7 @@ def _windows_out(ranges: int, hot):
         held = Stretches()
 
         def flush() -> pa.RecordBatch:
-            hits = _direct(held.settle(), ranges, 3)
+            hits = _direct(held.settle(), ranges, 4)
             return _rows(hits + held.rows(ranges, hot.value), _STRETCHES)
 
         for whole in batches:
@@ -376,7 +376,7 @@ def _windows_out(ranges: int, hot):
                 mine = mix(p.symbol ^ mix(p.text.astype(U64)))
                 which = np.flatnonzero(key[np.minimum(np.searchsorted(key, mine), len(key) - 1)] == mine)
                 text = p.text[which]
-                held.add(doc[text], own[text], p.symbol[which], p.start[which] - p.words.first[text], p.start[which], p.codes())
+                held.add(doc[text], own[text], p.symbol[which], p.name[which], p.start[which] - p.words.first[text], p.start[which], p.codes())
                 if len(held.doc) >= FLUSH or len(held.codes) >= 16 * FLUSH:
                     yield flush()
                     held = Stretches()

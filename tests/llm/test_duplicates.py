@@ -233,6 +233,14 @@ def test_symbols_inside_windows_depend_on_words_alone():
     assert all(len(s) == 1 for s in by_name.values()) and len({s for v in by_name.values() for s in v}) < len(by_name)
 
 
+def test_windows_that_differ_in_one_word(spark):
+    """Near copies by the thousand: codes of single words collide now and then, names of windows don't."""
+    r = random.Random(6)
+    base = [f"b{i}" for i in range(16)]
+    rows = [(i, " ".join([*base[:6], f"{r.randrange(10**9)}", *base[6:]])) for i in range(3000)]
+    check_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows)
+
+
 def test_names_that_collide_are_compared_by_words():
     codes = np.arange(60, dtype=np.uint32)
     codes[30:43] = codes[0:13]
