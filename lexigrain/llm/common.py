@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +56,16 @@ def table(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
 
 def drop_unread(spark: SparkSession) -> None:
     """Remove scratch tables whose relation the JVM has collected: no plan, lazy or running, can read them."""
-    gone = [w for w in _watched if w[0].get() is None]
-    for w in gone:
-        _watched.remove(w)
-        drop(spark, w[1])
+    for watched in list(_watched):
+        relation, path = watched
+        try:
+            unread = relation.get() is None
+        except Py4JError:  # another JVM's, which has removed it at its end
+            _watched.remove(watched)
+            continue
+        if unread:
+            _watched.remove(watched)
+            drop(spark, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:

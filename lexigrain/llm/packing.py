@@ -9,7 +9,9 @@ lengths, which has as many entries as the capacity at most:
 * Rounding: configurations are used as often as their whole parts say and pieces last.  What remains is filled up
   by the same kind of dynamic program: the longest piece left, and the pieces that fill its sequence best.
 
-The plan is a table of (length, first rank, copies, sequence, offset).  Executors number the pieces of a length
+The plan is a table of (length, first rank, copies, sequence, offset).  Every recipe but the program's uses some
+length up, so there are about as many as the capacity, of some 90 different lengths each, whatever the table's size:
+a few MB that go along with the tasks.  Executors number the pieces of a length
 with two-level counts, a length that holds a third of all pieces included, and look their place up.
 
 Defined cases: a null or empty text is the end id alone; longer texts are cut at the capacity; ties and repeated
