@@ -48,21 +48,22 @@ def postings_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term")).select("term", "doc_id", "pos")
 
 
-def positions(postings: DataFrame, wanted: list[Column], distinct: bool = True) -> DataFrame:
+def positions(postings: DataFrame, wanted: list[Column | None], distinct: bool = True) -> DataFrame:
     """Documents (once each, if ``distinct``) in which terms meet the i-th condition at place p + i for some p, in one pass over the postings.
 
-    A posting may stand for several places of the sequence; each gives a start, and a start at which all conditions
+    Places whose condition is None may hold anything.  A posting may stand for several places of the sequence; each gives a start, and a start at which all conditions
     are met is a hit.  Work grows with the postings of the wanted terms; no self-join is needed.
     """
-    some = reduce(lambda a, b: a | b, wanted)
+    asked = [(i, w) for i, w in enumerate(wanted) if w is not None]
+    some = reduce(lambda a, b: a | b, (w for _, w in asked))
     found = postings.where(some)
     once = lambda hits: hits.distinct() if distinct else hits
-    if len(wanted) == 1:
+    if len(asked) == 1:
         return once(found.select("doc_id"))
-    places = F.array_compact(F.array(*(F.when(w, F.lit(i)) for i, w in enumerate(wanted))))
+    places = F.array_compact(F.array(*(F.when(w, F.lit(i)) for i, w in asked)))
     starts = found.select("doc_id", "pos", F.explode(places).alias("i")).select("doc_id", (F.col("pos") - F.col("i")).alias("start"), "i")
     bits = starts.groupBy("doc_id", "start").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("met"))
-    return once(bits.where(F.col("met") == (1 << len(wanted)) - 1).select("doc_id"))
+    return once(bits.where(F.col("met") == sum(1 << i for i, _ in asked)).select("doc_id"))
 
 
 def docset(postings: DataFrame, query: Query) -> DataFrame:

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions.like import LikePattern
 from lexigrain.operators.fulltext import Phrase, positions
-from lexigrain.sources.index import IndexedTable
+from lexigrain.sources.index import PAGE_ROWS, IndexedTable
 
-#: Share of the documents from which on a scan is taken to be cheaper than the index.
-SCAN_SHARE = 0.0004
+#: Measured on 1 and 5 million titles with 8 cores: seconds that the index' two jobs take however little they read, and
+#: bytes of Parquet text that a core scans in a second.
+INDEX_SECONDS, SCAN_RATE = 0.5, 50e6
 #: Identifiers that are sent as a list of literals at most, and hits that are broadcast at most.
 LIST_IDS, BROADCAST_HITS = 1000, 1_000_000
-#: Documents of a pattern's terms up to which its postings are read by one task.
-FEW_HITS = 200_000
+#: Documents of a token up to which its postings are read by one task; more frequent tokens of a pattern that has one
+#: like that are left to the comparison, and without any such token, those beyond SPREAD times the rarest.
+FEW_HITS, SPREAD = 200_000, 10
 #: Terms of the dictionary that may stand for one token of a pattern at most; with more, the pattern is scanned for.
 LOOKUP_TERMS = 1000
 #: Tokens of a run that are looked up at most, as a start is kept in the bits of a number; the text itself is compared
@@ -65,8 +67,9 @@ def candidates(table: IndexedTable, pattern: LikePattern) -> tuple[DataFrame | N
     if not most:
         return None, 0
     # Few postings are counted where they are read, in one task.
-    postings = table.postings.coalesce(1) if max(sum(df for _, df in terms) for terms in found.values()) <= FEW_HITS else table.postings
-    sets = [positions(postings, [F.col("term").isin([term for term, _ in found[t]]) for t in tokens]) for tokens in _runs(pattern)]
+    postings, limit = (table.postings.coalesce(1), FEW_HITS) if most <= FEW_HITS else (table.postings, SPREAD * most)
+    read = {t: F.col("term").isin([term for term, _ in terms]) for t, terms in found.items() if sum(df for _, df in terms) <= limit}
+    sets = [positions(postings, [read.get(t) for t in tokens]) for tokens in _runs(pattern) if any(t in read for t in tokens)]
     return reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), sets), most
 
 
@@ -91,13 +94,26 @@ def id_in(docs: DataFrame, id_col: str, ids: list[int]) -> DataFrame:
     return restrict(docs, wanted, id_col, len(ids))
 
 
-def _narrowed(table: IndexedTable, patterns: list[str], scan_share: float) -> DataFrame:
-    """The rows of ``table`` that the index can't rule out for any of the patterns."""
+def _scan_seconds(docs: DataFrame) -> float:
+    """How long all cores take to read the files."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size / (SCAN_RATE * docs.sparkSession.sparkContext.defaultParallelism)
+
+
+def _narrowed(table: IndexedTable, patterns: list[str], scan_share: float | None) -> DataFrame:
+    """The rows of ``table`` that the index can't rule out for any of the patterns; all of them where a scan is cheaper.
+
+    With a ``scan_share``, the index is used where the rarest token is in at most that share of the documents.
+    Without, it is used where a scan would take longer than the index' own jobs and either the hits, which are
+    counted, are few enough for a list of identifiers, or are on fewer than half of the table's pages.
+    """
     docs, m = table.docs, table.manifest
+    if scan_share is None and _scan_seconds(docs) < INDEX_SECONDS:
+        return docs
     known = [found for p in patterns if (found := candidates(table, LikePattern.parse(p)))[1] is not None]
     if any(most == 0 for _, most in known):
         return docs.where(F.lit(False))
-    used = sorted(((hits, most) for hits, most in known if most <= scan_share * m.doc_count), key=lambda x: x[1])
+    used = sorted(((hits, most) for hits, most in known if scan_share is None or most <= scan_share * m.doc_count), key=lambda x: x[1])
     if not used:
         return docs
     hits, most = reduce(lambda a, b: (a[0].join(b[0], "doc_id", "left_semi"), a[1]), used)
@@ -105,13 +121,15 @@ def _narrowed(table: IndexedTable, patterns: list[str], scan_share: float) -> Da
         first = {r[0] for r in hits.limit(LIST_IDS + 1).collect()}
         if len(first) <= LIST_IDS:  # a list of literals reaches the pages of the sorted rows
             return docs.where(F.col(m.id_col).isin(sorted(first)))
+    if scan_share is None and most * PAGE_ROWS > m.doc_count / 2:
+        return docs
     return restrict(docs, hits, m.id_col, most)
 
 
-def like_indexed(table: IndexedTable, pattern: str, negated: bool = False, ignore_case: bool = False, scan_share: float = SCAN_SHARE, columns: list[str] | None = None) -> DataFrame:
+def like_indexed(table: IndexedTable, pattern: str, negated: bool = False, ignore_case: bool = False, scan_share: float | None = None, columns: list[str] | None = None) -> DataFrame:
     """``text LIKE pattern`` with SQL's meaning.
 
-    The index serves positive, case-sensitive or not, patterns with tokens to look up that are rare enough; the
+    The index serves positive, case-sensitive or not, patterns with tokens to look up where that is cheaper; the
     condition is compared again on what it finds.  A term that no document has ends the query without a scan.
     """
     text = F.col(table.manifest.text_col)
@@ -120,7 +138,7 @@ def like_indexed(table: IndexedTable, pattern: str, negated: bool = False, ignor
     return rows.select(*columns) if columns else rows
 
 
-def where_indexed(table: IndexedTable, condition: str, scan_share: float = SCAN_SHARE, columns: list[str] | None = None) -> DataFrame:
+def where_indexed(table: IndexedTable, condition: str, scan_share: float | None = None, columns: list[str] | None = None) -> DataFrame:
     """The rows that meet a SQL condition; its ``LIKE`` conjuncts on the indexed text go through the index.
 
     Spark's own parser reads the condition.  Whatever is no positive LIKE joined by AND is left to the scan, and the

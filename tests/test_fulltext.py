@@ -172,6 +172,27 @@ def test_long_lists_are_joined(mixed, monkeypatch):
     assert ids(rewrite.like_indexed(mixed, "%cow%", scan_share=1.0), "id") == ids(mixed.docs.where("title LIKE '%cow%'"), "id")
 
 
+@pytest.mark.parametrize(("seconds", "pages"), [(0.0, 1), (0.0, 1000), (1e9, 1)])
+def test_cost_rule_keeps_the_rows(mixed, monkeypatch, seconds, pages):
+    """Whether a scan is dear or cheap, and hits many or few for their pages, the rows are those of LIKE."""
+    monkeypatch.setattr(rewrite, "INDEX_SECONDS", seconds)
+    monkeypatch.setattr(rewrite, "PAGE_ROWS", pages)
+    for limit in (1000, 3):
+        monkeypatch.setattr(rewrite, "LIST_IDS", limit)
+        for pattern in ("%dairy cow%", "%cow%", "%zebra%", "%a%the%", "cow%"):
+            assert ids(rewrite.like_indexed(mixed, pattern), "id") == ids(mixed.docs.where(F.col("title").like(pattern)), "id")
+
+
+def test_frequent_tokens_are_left_to_the_comparison(mixed, monkeypatch):
+    monkeypatch.setattr(rewrite, "FEW_HITS", 30)
+    for pattern in ("%dairy cow%", "%the dairy%", "%a cow%the%"):
+        assert ids(rewrite.like_indexed(mixed, pattern, scan_share=1.0), "id") == ids(mixed.docs.where(F.col("title").like(pattern)), "id")
+    monkeypatch.setattr(rewrite, "FEW_HITS", 0)
+    monkeypatch.setattr(rewrite, "SPREAD", 1)
+    for pattern in ("%dairy cow%", "%the dairy%"):
+        assert ids(rewrite.like_indexed(mixed, pattern, scan_share=1.0), "id") == ids(mixed.docs.where(F.col("title").like(pattern)), "id")
+
+
 def test_id_lists(mixed):
     for n in (0, 3, 5000):
         assert rewrite.id_in(mixed.docs, "id", list(range(n))).count() == min(n, 200) + (5 if n == 5000 else 0)
