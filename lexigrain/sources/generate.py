@@ -31,7 +31,7 @@ PHONE_TYPES = {"Mobile": 55, "Work": 35, "Home": 10}
 PHONE_COUNTS = {0: 40, 1: 45, 2: 10, 3: 5}
 PHONE_TEMPLATES = {"both": 90, "number": 5, "type": 4, "none": 1}
 NAME_SHARE = 0.8
-MAX_PHONES, PHONE_LIMIT = 5, 10**10
+MAX_PHONES, PHONE_LIMIT, MAX_FILLERS = 5, 10**10, 8
 FIRST_NAMES = "Ada Ben Cleo Dev Eva Finn Gita Hugo Ines Jon Kira Leo Maya Nils Opal Per Quinn Rosa Sam Tara Uma Vik Wren Xia Yan Zoe".split()
 LAST_NAMES = "Abel Berg Cole Diaz Eng Fox Gray Hale Iyer Jain Katz Lund Moss Nair Ohm Pace Quist Rao Stone Toft Urban Vale West Xu York Zorn".split()
 
@@ -40,10 +40,13 @@ def titles(spark: SparkSession, n: int, seed: int = 0, partitions: int | None =
     """(id, title): 3 to 8 filler words and each control word with its probability, in random order."""
     ids = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
     key = F.col("id")
-    filler = F.transform(F.sequence(F.lit(1), between(key, 3, 8, seed, "n")), lambda i: F.struct(F.xxhash64(key, F.lit(seed), F.lit("o"), i).alias("o"), pick(FILLER_WORDS, uniform(key, seed, "w", i)).alias("w")))
-    control = [F.when(uniform(key, seed, word) < share, F.struct(F.xxhash64(key, F.lit(seed), F.lit(word)).alias("o"), F.lit(word).alias("w"))) for word, share in CONTROL_WORDS.items()]
-    words = F.array_sort(F.concat(filler, F.array_compact(F.array(*control))))
-    return ids.select("id", F.array_join(F.transform(words, lambda x: x["w"]), " ").alias("title"))
+    n = between(key, 3, MAX_FILLERS, seed, "n")
+    word = lambda order, w: F.struct(F.xxhash64(key, F.lit(seed), *order).alias("o"), w.alias("w"))
+    # Fixed numbers of places, null where there is no word, stay within generated code; lambdas over lists don't.
+    filler = [F.when(n >= i, word((F.lit("o"), F.lit(i)), pick(FILLER_WORDS, uniform(key, seed, "w", i)))) for i in range(1, MAX_FILLERS + 1)]
+    control = [F.when(uniform(key, seed, w) < share, word((F.lit(w),), F.lit(w))) for w, share in CONTROL_WORDS.items()]
+    words = F.sort_array(F.array(*filler, *control))
+    return ids.select("id", F.array_join(words["w"], " ").alias("title"))
 
 
 def _templates(key: Column, seed: int) -> Column:
