@@ -12,11 +12,11 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), SEPARATOR), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), SEPARATOR), "")
 
 
 def split_whitespace(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def word_count(text: Column) -> Column:
