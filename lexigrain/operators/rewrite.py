@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.functions.like import LikePattern
-from lexigrain.operators.fulltext import Phrase, positions
+from lexigrain.operators.fulltext import Phrase, docset, positions
 from lexigrain.sources.index import PAGE_ROWS, IndexedTable
 
 #: Measured on 1 and 5 million titles with 8 cores: seconds that the index' two jobs take however little they read, and
@@ -100,6 +100,16 @@ def _scan_seconds(docs: DataFrame) -> float:
     return size / (SCAN_RATE * docs.sparkSession.sparkContext.defaultParallelism)
 
 
+def _with_hits(table: IndexedTable, hits: DataFrame, most: int, or_all: bool = False) -> DataFrame:
+    """The rows of hits, of which there are ``most`` at most; or all rows, if allowed and the hits don't fit a list."""
+    docs, id_col = table.docs, table.manifest.id_col
+    if most <= BROADCAST_HITS:
+        first = {r[0] for r in hits.limit(LIST_IDS + 1).collect()}
+        if len(first) <= LIST_IDS:  # a list of literals reaches the pages of the sorted rows
+            return docs.where(F.col(id_col).isin(sorted(first)))
+    return docs if or_all else restrict(docs, hits, id_col, most)
+
+
 def _narrowed(table: IndexedTable, patterns: list[str], scan_share: float | None) -> DataFrame:
     """The rows of ``table`` that the index can't rule out for any of the patterns; all of them where a scan is cheaper.
 
@@ -117,13 +127,7 @@ def _narrowed(table: IndexedTable, patterns: list[str], scan_share: float | None
     if not used:
         return docs
     hits, most = reduce(lambda a, b: (a[0].join(b[0], "doc_id", "left_semi"), a[1]), used)
-    if most <= BROADCAST_HITS:
-        first = {r[0] for r in hits.limit(LIST_IDS + 1).collect()}
-        if len(first) <= LIST_IDS:  # a list of literals reaches the pages of the sorted rows
-            return docs.where(F.col(m.id_col).isin(sorted(first)))
-    if scan_share is None and most * PAGE_ROWS > m.doc_count / 2:
-        return docs
-    return restrict(docs, hits, m.id_col, most)
+    return _with_hits(table, hits, most, or_all=scan_share is None and most * PAGE_ROWS > m.doc_count / 2)
 
 
 def like_indexed(table: IndexedTable, pattern: str, negated: bool = False, ignore_case: bool = False, scan_share: float | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -162,7 +166,8 @@ def phrase_match(table: IndexedTable, phrase: str) -> DataFrame:
     """Rows whose tokens hold the phrase's tokens at consecutive places."""
     words = Phrase.of(phrase).words
     found = look_up(table, {(w, "exact") for w in words})
-    most = min((sum(df for _, df in terms) for terms in found.values()), default=0)
-    if not most:
+    counts = [sum(df for _, df in terms) for terms in found.values()]
+    if not counts or not min(counts):
         return table.docs.where(F.lit(False))
-    return restrict(table.docs, table.session().search(Phrase(words)), table.manifest.id_col, most)
+    postings = table.postings.coalesce(1) if max(counts) <= FEW_HITS else table.postings
+    return _with_hits(table, docset(postings, Phrase(words)), min(counts))
