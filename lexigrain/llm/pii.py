@@ -160,14 +160,14 @@ def _order(kind: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_<kind>, base_sha256, spans."""
+    """One row per input row: doc_id, n_<kind>, base_sha256, spans, and private, whether there are any."""
     everything, spans = _spans(docs, id_col, text_col)
     shown = F.concat_ws(":", "kind", "start", "end")
     of_row = spans.groupBy("row").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in PATTERNS), F.array_sort(F.collect_list(F.struct("start", _order(F.col("kind")).alias("o"), "end", shown.alias("s")))).alias("all"))
     joined = everything.join(of_row, "row", "left")
     text = lambda spans: F.coalesce(F.array_join(F.transform(spans, lambda x: x["s"]), ","), F.lit(""))
     base = text(F.filter("all", lambda x: x["o"] <= len(PATTERNS)))
-    return joined.select("doc_id", *(F.coalesce(F.col(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in PATTERNS), F.sha2(base, 256).alias("base_sha256"), text(F.col("all")).alias("spans"))
+    return joined.select("doc_id", *(F.coalesce(F.col(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in PATTERNS), F.sha2(base, 256).alias("base_sha256"), text(F.col("all")).alias("spans"), F.col("all").isNotNull().alias("private"))
 
 
 def _class(word: Column) -> Column:

@@ -210,6 +210,7 @@ def test_base_spans(spark, documents):
             assert [r[f"n_{k}"] for k in pii.PATTERNS] == [sum(w[3] == k for w in want) for k in pii.PATTERNS]
             assert {s for s in r.spans.split(",") if s and s.split(":")[0] in pii.PATTERNS} == {s for s in base.split(",") if s}
             assert want or not r.spans  # clean texts are left alone
+            assert r.private == bool(want)
 
 
 def secret_docs(spark):
