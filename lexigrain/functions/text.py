@@ -40,9 +40,26 @@ def short_count(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.concat(whole(1_000_000), F.lit("M"))).when(n >= 1_000, F.concat(whole(1_000), F.lit("K"))).otherwise(F.floor(n).cast("string"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double with so many decimals as C's printf has it: its exact binary value is rounded, halves go to even.
+
+    Java's formatter rounds a double's shortest text up instead, which makes 0.00375, in binary a bit less, 0.0038.
+    Here the product with the power of ten is exact, as a double and its error (Dekker), and what is rounded by it has
+    a text that needs no more rounding.  Values of 2^52 units or more are left to Java, as are NaN and infinities.
+    """
+    unit, split = 10.0**digits, 2.0**27 + 1
+    product = x * unit
+    high = x * split - (x * split - x)
+    error = (high * unit - product) + (x - high) * unit
+    whole = F.rint(product)
+    over = product - whole
+    whole = F.when((over == 0.5) & (error > 0), whole + 1).when((over == -0.5) & (error < 0), whole - 1).otherwise(whole)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.when(F.abs(product) < 2.0**52, whole / unit).otherwise(x)))
+
+
 def signed_seconds(change: Column) -> Column:
     """Seconds saved as -1.50s, seconds lost as +1.50s; no change counts as lost."""
-    return F.concat(F.when(change < 0, "-").otherwise("+"), F.format_string("%.2fs", F.abs(change)))
+    return F.concat(F.when(change < 0, "-").otherwise("+"), fixed(F.round(F.abs(change), 2), 2), F.lit("s"))
 
 
 def whole_batches(n: Column, size: int) -> Column:

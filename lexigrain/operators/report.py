@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrain.functions.text import short_count, signed_seconds
+from lexigrain.functions.text import fixed, short_count, signed_seconds
+from lexigrain.session import scratch_dir
+from lexigrain.sources.files import remove_at_exit
 
 COMPARISON = "query_id long, baseline double, optimized double, rows long"
 
@@ -22,18 +24,48 @@ def speedup() -> Column:
     return F.col("baseline") / F.col("optimized")
 
 
-def comparison_table(results: DataFrame, total_rows: int) -> DataFrame:
-    """The comparison in its order, speedups first and the largest of them first; equal times count as slow.
+def comparison_keys() -> list[Column]:
+    """Speedups first and the largest of them first: slowdowns are ratios of at most one, and the mildest comes first."""
+    return [speedup().desc_nulls_last(), F.col("query_id").asc_nulls_last()]
 
-    Largest ratio first is that order: slowdowns are ratios of at most one, and the mildest comes first.
-    """
+
+def comparison_columns(total_rows: int) -> list[Column]:
+    """What a row of the comparison shows; equal times count as slow."""
     faster = F.col("baseline") > F.col("optimized")
-    change = F.when(faster, F.format_string("%.2fX", speedup())).otherwise(F.format_string("%.2fX (slowdown)", 1 / speedup()))
-    return results.orderBy(speedup().desc(), "query_id").select(
-        "query_id", F.format_string("%.4fs", "baseline").alias("baseline"), F.format_string("%.4fs", "optimized").alias("optimized"),
+    times = lambda ratio, suffix: F.concat(fixed(F.round(ratio, 2), 2), F.lit(suffix))
+    seconds = lambda name: F.concat(fixed(F.col(name), 4), F.lit("s")).alias(name)
+    share = F.col("rows") / F.lit(float(max(total_rows, 1))) * 100
+    return [
+        F.col("query_id"), seconds("baseline"), seconds("optimized"),
         signed_seconds(F.when(faster, -1).otherwise(1) * F.abs(F.col("optimized") - F.col("baseline"))).alias("diff"),
-        "rows", F.format_string("%.4f%%", F.col("rows") / F.lit(float(max(total_rows, 1))) * 100).alias("selectivity"), change.alias("change"),
-    )
+        F.col("rows"), F.concat(fixed(share, 4), F.lit("%")).alias("selectivity"),
+        F.when(faster, times(speedup(), "X")).otherwise(times(1 / speedup(), "X (slowdown)")).alias("change"),
+    ]
+
+
+def comparison_table(results: DataFrame, total_rows: int) -> DataFrame:
+    """The comparison in its order."""
+    return results.orderBy(*comparison_keys()).select(*comparison_columns(total_rows))
+
+
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows with their places from 0 in ``order``, whatever the number of tasks; rows that tie get theirs in any order.
+
+    The sorted partitions are written once, so their borders are fixed, and a count of each gives its first place.
+    ``coalesce(1)`` would put partitions that have a preferred host before others, out of order.
+    """
+    spark = df.sparkSession
+    folder = scratch_dir(spark)
+    ordered = df.orderBy(*order).withColumn(name, F.monotonically_increasing_id())
+    ordered.write.parquet(folder)
+    remove_at_exit(spark, folder)
+    rows = spark.read.schema(ordered.schema).parquet(folder)
+    part = F.shiftright(name, 33)  # such an identifier is the partition's number, then the row's within it in 33 bits
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(counts.select("_part", before.alias("_before")))
+    place = F.col("_before") + F.col(name).bitwiseAND((1 << 33) - 1)
+    return rows.join(first, part == F.col("_part")).withColumn(name, place).drop("_part", "_before")
 
 
 def comparison_summary(results: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ SELECT row_number() OVER (ORDER BY baseline / optimized DESC, query_id) - 1 AS p
     CASE WHEN baseline > optimized THEN printf('%.2fX', round((baseline / optimized)::DOUBLE, 2)) ELSE printf('%.2fX (slowdown)', round((1 / (baseline / optimized))::DOUBLE, 2)) END AS change FROM r, n""")
 def comparison_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speedups first, the largest of them first, then slowdowns from the mildest on; with the place of each row."""
-    table = report.comparison_table(_runs(spark, sf_dir), read(spark, sf_dir, "part").count())
-    return table.coalesce(1).select(F.monotonically_increasing_id().alias("place"), "*")
+    runs = report.placed(_runs(spark, sf_dir), report.comparison_keys())
+    return runs.orderBy("place").select("place", *report.comparison_columns(read(spark, sf_dir, "part").count()))
 
 
 @query(f"WITH r AS ({_RUNS}) SELECT count(*) AS queries, count(*) FILTER (WHERE optimized >= baseline) AS slow_queries, round(exp(avg(ln(baseline / optimized))), 6) AS geomean FROM r")

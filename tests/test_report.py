@@ -23,6 +23,46 @@ def test_comparison_order_and_summary(spark):
     assert report.comparison_summary(df.where("false")).first().geomean == 1.0
 
 
+def test_numbers_are_rounded_as_printf_does(spark):
+    values = [0.00375, 0.00675, 0.00625, 0.03125, 5e-05, 0.00005000001, 1.00005, 2.5, 12.34565, 123456.78905, 1e15 + 0.5, 0.0, 3 / 1.2e6 * 100, 9 / 1.2e6 * 100]
+    values += [-v for v in values]
+    out = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.fixed(F.col("v"), 4).alias("four"), X.fixed(F.col("v"), 2).alias("two")).collect()
+    assert [(r.four, r.two) for r in out] == [("%.4f" % r.v, "%.2f" % r.v) for r in out]
+    assert spark.range(1).select(X.fixed(F.lit(None).cast("double"), 4)).first()[0] is None
+
+
+@pytest.mark.parametrize("times", [16, 80])  # shares with a 5 as the fifth decimal: 0.03125 %, which binary holds, and 0.00625 %, which it does not
+def test_comparison_order_of_more_rows_equals_sql(spark, tmp_path, times):
+    from helpers import SF, same_as_sql
+
+    from lexigrain.plans.registry import ORACLE_SQL, QUERIES
+
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    copies = part.crossJoin(spark.range(times)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * part.count()).drop("id")
+    copies.coalesce(1).write.parquet(str(tmp_path / "copies"))
+    next((tmp_path / "copies").glob("*.parquet")).rename(tmp_path / "part.parquet")
+    same_as_sql(QUERIES["comparison_order"](spark, str(tmp_path)), ORACLE_SQL["comparison_order"], str(tmp_path))
+
+
+def test_an_unknown_time_shows_nothing(spark):
+    out = report.comparison_table(spark.createDataFrame([(0, None, 1.0, 10), (1, 2.0, 1.0, None)], report.COMPARISON), 1000).collect()
+    assert [(r.query_id, r.baseline, r["diff"], r.selectivity, r.change) for r in out] == [(1, "2.0000s", "-1.00s", None, "2.00X"), (0, None, None, "1.0000%", None)]
+
+
+def test_places_over_many_tasks(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a task per shuffle partition
+    try:
+        df = spark.range(1000).select((F.col("id") * 7 % 10).alias("k"), "id")
+        out = report.placed(df, [F.col("k").desc(), F.col("id")]).orderBy("place")
+        rows = [tuple(r) for r in out.select("k", "id", "place").collect()]
+        assert report.placed(df.where("false"), [F.col("id")]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    want = sorted(((i * 7 % 10, i) for i in range(1000)), key=lambda r: (-r[0], r[1]))
+    assert rows == [(*r, i) for i, r in enumerate(want)]
+
+
 def test_compare_runs_both(spark):
     out = report.compare(spark, [(7, lambda: spark.range(3), lambda: spark.range(3))]).first()
     assert out.query_id == 7 and out.rows == 3 and out.baseline > 0
