@@ -32,6 +32,8 @@ MAGIC = b"LGV1"
 BLOCK_IDS = 1 << 18
 #: Words that a worker remembers here; more than elsewhere, as spaces make words differ.
 CACHE_WORDS = 800_000
+#: Bytes of text that a worker handles at once; more than elsewhere, as each different word in them is looked up once.
+SLICE_BYTES = 1 << 23
 #: Ids in a range of documents, which one task sorts and writes block by block, and ranges at most; from then on they
 #: grow.  Borders are places in the order of documents, as a sample of SAMPLE documents a range has them.
 RANGE_IDS, MAX_RANGES, SAMPLE = 8_000_000, 1 << 14, 64
@@ -97,19 +99,24 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 _RAW = ["doc_id", "row", "n_tokens", "ids", "counts"]
 
 
+def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive values, so many a row, as a binary column."""
+    ends = np.append(0, np.cumsum(sizes) * values.itemsize)
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a text has too many ids for a binary value")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+
 def _tokenise(path: str, drops_space: bool, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = encoder(path, drops_space, CACHE_WORDS).encode_narrow, np.zeros(0, np.int64)
+        encode, total = encoder(path, drops_space, CACHE_WORDS).encode_flat, np.zeros(0, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                ids, width = encode(texts_of(batch))
-                end = end_id.to_bytes(width, "little")
-                ids = [b + end for b in ids]
-                n = [len(b) // width for b in ids]
-                found = np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=len(total))
+            for batch in slices(whole, "text", SLICE_BYTES):
+                ids, n = encode(texts_of(batch), [end_id])
+                found = np.bincount(ids, minlength=len(total))
                 found[: len(total)] += total
                 total = found
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.binary())], names=_RAW)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), _binaries(ids, n), pa.nulls(len(n), pa.binary())], names=_RAW)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=_RAW)
 
     return run

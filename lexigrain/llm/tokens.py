@@ -28,6 +28,8 @@ CACHE_WORDS = 400_000
 CACHE_CHARS = 64
 #: Bytes of text that a worker handles at once.
 SLICE_BYTES = 1 << 19
+#: Words whose ids are put side by side at once.
+WORDS_AT_ONCE = 1 << 18
 #: Where a byte-level text may be cut: before ASCII white space that follows anything else.
 _CHUNK = re.compile("[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space outside ASCII joins runs of white space over such a cut; texts with it are encoded whole.
@@ -79,10 +81,12 @@ class _SpacedIds(dict):
     def __missing__(self, word: str) -> bytes:
         mark = word[-1:] if word[-1:] in (".", ",") else ""
         letters = word[:-1] if mark else word
-        if letters.isalpha() and (letters.isascii() or _LETTER_RUN(letters)):
-            ids = self.pieces[" " + letters] + self.pieces[mark] if mark else self.pieces[" " + letters]
-        else:
+        if not letters.isalpha() or not (letters.isascii() or _LETTER_RUN(letters)):
             ids = self.compute(word)
+        elif mark:
+            ids = self[letters] + self.pieces[mark]
+        else:
+            ids = self.pieces.compute(" " + word)
         if len(word) <= CACHE_CHARS:
             self[word] = ids
         return ids
@@ -110,6 +114,7 @@ class CachedEncoder:
         self.marks = {a[0] for a in self.added} | {a[0].upper() for a in self.added}
         self.model = self.tok.model
         self.drops_space, self.limit = drops_space, cache_words
+        self.width = 4 if self.tok.get_vocab_size() > 1 << 16 else 2
         self.find = (_WORD_PIECE if drops_space else _BYTE_PIECE).findall
         self.chunks, self.pieces = _Ids(self._chunk), _Ids(self._piece)
         self.spaced = _SpacedIds(self.pieces, self._spaced)
@@ -120,7 +125,7 @@ class CachedEncoder:
         return [text] if _ODD_SPACE.search(text) else _CHUNK.findall(text)
 
     def _spaced(self, word: str) -> bytes:
-        return self._chunk(word if word[0] == "\n" else " " + word)
+        return self._chunk(word if word[:1] in ("", "\n") else " " + word)
 
     def _adds(self, text: str) -> bool:
         """Whether an added token's string may stand in a text; the tokenizer finds it before it cuts words."""
@@ -129,11 +134,15 @@ class CachedEncoder:
         lower = text.lower()
         return any(a in lower for a in self.added)
 
+    def _spaces(self, text: str) -> bool:
+        """Whether all of a text is words between single spaces and line breaks, which stand alone after a space."""
+        return not (self.drops_space or text[:1] in _BREAKS or text[-1] in _BREAKS or any(b in text for b in _DOUBLE))
+
     def _ids(self, text: str) -> bytes:
-        """Words between single spaces and line breaks need no search for chunks: after a space they stand alone."""
+        """Words between single spaces and line breaks need no search for chunks."""
         if self._adds(text):
             return _bytes(self.tok.encode(text, add_special_tokens=False).ids)
-        if self.drops_space or text[:1] in _BREAKS or text[-1] in _BREAKS or any(b in text for b in _DOUBLE):
+        if not self._spaces(text):
             return b"".join(map(self.chunks.__getitem__, self._cut(text)))
         first, *words = text.replace("\n", " \n").split(" ")
         return self.chunks[first] + b"".join(map(self.spaced.__getitem__, words))
@@ -161,20 +170,57 @@ class CachedEncoder:
             return b"".join([self.pieces[p] for p in pieces])
         return _bytes(self.tok.encode(chunk, add_special_tokens=False).ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _bound(self) -> None:
         for cache in (self.chunks, self.spaced, self.pieces):
             if len(cache) > self.limit:
                 cache.clear()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self._bound()
         return [self._ids(t) for t in texts]
 
+    def encode_flat(self, texts: list[str], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by those of ``end``, and their number for each text.
+
+        Ids have as few bytes as the vocabulary needs, 2 or 4.  Arrow cuts the texts and finds their different words,
+        each of which is looked up once; numpy puts the words' ids side by side.  A text's first word has no space
+        before it, and a text that isn't words between single spaces counts as one such word.
+        """
+        self._bound()
+        if not texts:
+            return np.zeros(0, f"<u{self.width}"), np.zeros(0, np.int64)
+        spaced = [not self._adds(t) and self._spaces(t) for t in texts]
+        cut = pc.replace_substring(pa.array([t if s else "" for t, s in zip(texts, spaced, strict=True)], pa.large_string()), "\n", " \n")
+        cut = pc.split_pattern(cut, " ")
+        begin, words = np.asarray(cut.offsets), cut.flatten().dictionary_encode()
+        del cut
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        numbers = np.asarray(words.indices).copy()
+        firsts = [names[i] for i in numbers[begin[:-1]]]
+        numbers[begin[:-1]] = len(names) + np.arange(len(texts))
+        numbers = np.insert(numbers, begin[1:], len(names) + len(texts))
+        del words
+        found = list(map(self.spaced.__getitem__, names))
+        found += [self.chunks[f] if s else self._ids(t) for t, s, f in zip(texts, spaced, firsts, strict=True)]
+        found.append(_bytes(end))
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4").astype(f"<u{self.width}")
+        starts, ends = np.cumsum(lens) - lens, np.cumsum(lens[numbers])
+        sizes = np.diff(ends[begin[1:] + np.arange(len(texts))], prepend=0)
+        out = np.empty(ends[-1], ids.dtype)
+        for a in range(0, len(numbers), WORDS_AT_ONCE):
+            part = numbers[a : a + WORDS_AT_ONCE]
+            n, to = lens[part], ends[a : a + WORDS_AT_ONCE]
+            first = to[0] - n[0]
+            out[first : to[-1]] = ids[np.repeat(starts[part] - to + n, n) + np.arange(first, to[-1])]
+        return out, sizes
+
     def encode_narrow(self, texts: list[str]) -> tuple[list[bytes], int]:
-        """The same ids in as few bytes each as the vocabulary needs, 2 or 4, and that number."""
-        ids = self.encode(texts)
-        if self.tok.get_vocab_size() > 1 << 16:
-            return ids, 4
-        ends = (np.cumsum([len(b) for b in ids]) // 2).tolist()
-        narrow = np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes()
-        return [narrow[a:b] for a, b in zip([0, *ends], ends, strict=False)], 2
+        """The ids of each text as bytes, in as few each as the vocabulary needs, and that number."""
+        ids, sizes = self.encode_flat(texts, [])
+        ends = (np.cumsum(sizes) * self.width).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], self.width
 
 
 @lru_cache(maxsize=4)

@@ -44,6 +44,38 @@ def test_cached_ids_are_the_library_s(encoders, name, texts):
     assert width == 2 and [np.frombuffer(b, "<u2").tolist() for b in narrow] == plain(e, texts)
 
 
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PIECES, " a", " Word", " Word.", "\nb", " \x00", ", "]), max_size=12).map("".join), max_size=6))
+def test_flat_ids_are_the_library_s(encoders, name, texts):
+    """Texts of all kinds side by side, each with its end id; ids put together in parts that end within a text."""
+    e = encoders[name]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens, "WORDS_AT_ONCE", 3)
+        ids, sizes = e.encode_flat(texts, [7])
+    ends = np.cumsum(sizes).tolist()
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [[*x, 7] for x in plain(e, texts)] and len(ids) == sum(sizes)
+
+
+def test_each_word_of_a_batch_is_looked_up_once():
+    """op6's cost was a look-up for every word; words of one batch repeat, across texts as well."""
+
+    class Counted(tokens._SpacedIds):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    e = tokens.CachedEncoder(tokens.tokenizer_path("byte_bpe_50k.json"), False)
+    e.spaced = Counted(e.pieces, e._spaced)
+    texts = ["the quick brown fox jumps over the lazy dog\nand the quick fox runs. " * 20 + f"number {i}" for i in range(50)]
+    texts = [t.replace("  ", " ") for t in texts]
+    narrow, _ = e.encode_narrow(texts)
+    assert [np.frombuffer(b, "<u2").tolist() for b in narrow] == plain(e, texts)
+    assert Counted.asked <= 2 * len({w for t in texts for w in t.split()})
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, (1 << 32) - 1), min_size=1, max_size=9), max_size=6))
 def test_blocks_round_trip(docs):
